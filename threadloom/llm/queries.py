@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversations, overlap, splits
+from threadloom.llm import bpe, conversations, leakage, overlap, segments, splits
 from threadloom.sources.tables import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -36,6 +36,29 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.replay(spark, f"{d}/messages.parquet").where("reason IS NULL").select("user_id", "session_id", "turns")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations)}
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return segments.pieces(table(spark, d, "messages"), table(spark, d, "embedding_config"))
 
-ORACLES: dict[str, str] = {}
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where("piece = 0").select("config_id", "id")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations, p5_pieces, p5_found, p6_ids, p7_found)}
+
+ORACLES: dict[str, str] = {
+    "p5_found": """
+SELECT c.config_id, m.id
+FROM (SELECT id, content, doc_length FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY sequence) = 1) m
+JOIN (SELECT DISTINCT * FROM embedding_config) c
+  ON m.content IS NOT NULL AND (m.doc_length > c.segment_tokens OR strlen(c.document_prefix) + strlen(m.content) > c.http_segment_bytes)
+""",
+}
