@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, conversations, leakage, overlap, segments, splits
+from threadloom.llm import bpe, conversations, leakage, overlap, segments, splits, truncation
 from threadloom.sources.tables import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -52,7 +52,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations, p5_pieces, p5_found, p6_ids, p7_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_texts(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations, p5_pieces, p5_found, p6_ids, p7_found, p8_found, p8_report)}
 
 ORACLES: dict[str, str] = {
     "p5_found": """
