@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import settle, write_table
+from threadloom.operators.components import merge_roots
+from threadloom.session import write_table
 
 #: Ids that stand for "not known", compared without case and outer blanks (fixed values).
 PLACEHOLDERS = ("", "-", "--", "0", "?", "n/a", "na", "nan", "nil", "none", "null", "unknown", "undefined", "anonymous")
@@ -45,32 +46,6 @@ def identity_links(records: DataFrame, key: str = "sample_id", identities: tuple
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _merge_roots(links: DataFrame, rounds: int = 50) -> DataFrame | None:
-    """``node, root`` for every node of ``links`` (a, b): the smallest node of its component.
-
-    Each round every node hooks on its smallest neighbour, chains are shortened by pointer jumping until no
-    pointer moves, and the links between the roots that remain are the next round's. Result None: no links.
-    """
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = settle(links.where("a <> b").distinct())
-    labels = None
-    for _ in range(rounds):
-        if links.isEmpty():
-            return labels
-        parents = settle(both(links).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-        for _ in range(rounds):
-            up = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = settle(parents.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
-            parents = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
-        to = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        labels = parents if labels is None else settle(labels.join(to, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
-        left = links.join(parents.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(parents.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        links = settle(left.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    raise RuntimeError("the components did not settle")
-
-
 def empty_table(spark) -> DataFrame:
     """A component table with nothing in it: ``node, component, split, quarantined``."""
     return spark.createDataFrame([], "node string, component string, split string, quarantined boolean")
@@ -93,7 +68,7 @@ def update_components(table: DataFrame, records: DataFrame, key: str = "sample_i
     members = write_table(table.select("node", "component", "split", "quarantined").unionByName(fresh), "components")
     at = members.select("node", "component")
     contracted = links.join(at.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb")
-    roots = _merge_roots(contracted.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
+    roots = merge_roots(contracted.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
     if roots is None:
         return members
     merged = members.join(roots.select(F.col("node").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"), "split", "quarantined")
