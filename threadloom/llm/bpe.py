@@ -155,8 +155,8 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY, block_c
     """
     spark: SparkSession = documents.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))  # a published vocabulary: fixed size, whatever the corpus
-    rows = documents.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, ids keep all digits beside nulls
     empty = rows.where("text IS NULL OR text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     texts = rows.where("text <> ''")
     characters = texts.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
@@ -164,5 +164,5 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY, block_c
     blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     pairs = blocked.select("block", "text").mapInPandas(_words_of, "block bigint, word string").distinct()
     merged = pairs.repartition("word").sortWithinPartitions("word").mapInPandas(_merge(ranks), "block bigint, word string, ids array<int>")
-    whole = blocked.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_assemble, f"doc_id {kind}, ids array<int>")
-    return whole.unionByName(empty)
+    whole = blocked.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_assemble, "doc_id string, ids array<int>")
+    return whole.unionByName(empty).select(F.col("doc_id").cast(kind).alias("doc_id"), "ids")

@@ -38,10 +38,10 @@ CHANGED = 0.13
 IN_TASK = 2_000_000
 
 _WORDS = re.compile(f"[{CJK_CLASS}]|[^\\W_{CJK_CLASS}]+")
-_ESCAPED = re.compile(r"\\+u([0-9a-fA-F]{4})")
+_ESCAPED = re.compile(r"(?<!\\)\\++u([0-9a-fA-F]{4})")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _INSIDE = re.compile(r"(?<=\w)['’ʼ`´‐‑-](?=\w)")
-_MARKUP = re.compile(r"\*+|~~+|`+|(?<!\w)_+|_+(?!\w)")
+_MARKUP = re.compile(r"\*+|~~+|`+|__+|(?<!\w)_|_(?!\w)")
 _UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿ﾠ]")
 
 
@@ -51,7 +51,7 @@ def plain_words(text: str | None) -> list[str]:
         return []
     if "\\" in text:
         text = _ESCAPED.sub(lambda m: chr(int(m.group(1), 16)), text)
-        text = re.sub(r"\\+[nrt]", " ", text).replace("\\", "")
+        text = re.sub(r"(?<!\\)\\++[nrt]", " ", text).replace("\\", "")
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:

@@ -34,7 +34,7 @@ LEAST_FILL = 0.5
 MOST_CONFIGS = 256
 
 _ATOM = re.compile(f"([{CJK_CLASS}])|[^\\W_{CJK_CLASS}]+")
-_SENTENCE_END = re.compile(r"(?:[.!?…]+[\"'”’)\]]*(?=\s|$)|[。！？；]+[”’」』）]*|\n+)\s*")
+_SENTENCE_END = re.compile(r"(?:(?<![.!?…])[.!?…]++[\"'”’)\]]*+(?=\s|$)|[。！？；]+[”’」』）]*|\n+)\s*")
 
 
 class _Text:

@@ -36,27 +36,43 @@ OPEN_SHARE = 0.8
 KEY = 120
 
 _CLOSE = r"[\"'”’»」』)\]*_]*"
-_SENTENCE = re.compile(rf"(?:(?<!\d)\.|[!?…]|(?<=\d)\.(?=[\"'”’»)\]]))[.!?…]*{_CLOSE}(?=\s|$)|[。！？…]+[”’」』）)]*")
-_NOISE = re.compile(r"(?:\s|[­​-‏⁠﻿]|</?[a-zA-Z][^<>]{0,40}>)+\Z")
+_SENTENCE = re.compile(rf"(?<![.!?…])[.!?…]++{_CLOSE}+(?=\s|$)|[。！？…]+[”’」』）)]*")
+_ITEM = re.compile(r"\s*(?:[-*•+]|\d{1,9}[.)])\s+")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,40}>")
+_UNSEEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+_NUMBERED_END = re.compile(r"\d\.\Z")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _NAME = re.compile(r"\b[A-ZÀ-Þ][a-zß-ÿ'’-]+\b")
 _LATIN = re.compile(r"[^\W\d_]+")
 _BULLET = re.compile(r"(?:[-*•+]|#[.)])\s+")
 _KEYED = re.compile(r"([^\W\d_][\w'’ -]{0,30}):\s")
-_DOTS = re.compile(r"(?:\.\.\.|…)\W*\Z")
+_DOTS = re.compile(r"(?<!\.)(?:\.\.\.|…)\W{0,20}\Z")
 
 
 def trimmed(text: str) -> str:
     """The text without white space, invisible characters and bare tags at its end."""
-    return _NOISE.sub("", text)
+    while True:
+        end = len(text)
+        while end and (text[end - 1].isspace() or text[end - 1] in _UNSEEN):
+            end -= 1
+        text = text[:end]
+        tag = text.rfind("<", max(0, end - 44)) if text.endswith(">") else -1
+        if tag < 0 or not _TAG.fullmatch(text[tag:]):
+            return text
+        text = text[:tag]
+
+
+def item(line: str) -> str:
+    """A line without its bullet or number."""
+    return line[m.end() :].strip() if (m := _ITEM.match(line)) else line.strip()
 
 
 def tail(line: str) -> str:
     """What follows the last finished sentence of a line; empty where the line ends with one."""
-    end = 0
-    for m in _SENTENCE.finditer(line):
+    text, end = item(line), 0
+    for m in _SENTENCE.finditer(text):
         end = m.end()
-    return line[end:].strip()
+    return text[end:].strip()
 
 
 def flat(line: str) -> str:
@@ -129,7 +145,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(m := mask(line)) <= KEY:
                     single.add((source, "line", m, None, h))
             last = lines[-1]
-            if 0 < len(t := flat(tail(last))) <= KEY and t != flat(last):
+            if 0 < len(t := flat(tail(last))) <= KEY and t != flat(item(last)):
                 single.add((source, "tail", t, None, h))
             if _DOTS.search(last) and len(t := flat(tail(_DOTS.sub("", last)))) <= KEY:
                 single.add((source, "dots", t, None, h))
@@ -174,11 +190,13 @@ def judge(text: str, size: int, lines: set[str], tails: set[str], dots: set[str]
     line, t = left[kept - 1], tail(left[kept - 1])
     if kept == len(left) and _DOTS.search(line):
         return ("whole" if flat(tail(_DOTS.sub("", line))) in dots else "dots"), "", ""
-    if not t or (t != line.strip() and flat(t) in tails):
+    if not t and not (at_limit and kept == len(left) and _NUMBERED_END.search(line[-40:])):
+        return "whole", "", ""
+    if t and t != item(line) and flat(t) in tails:
         return "whole", "", ""
     if at_limit and kept == len(left):
         return "limit", "", ""
-    if t != line.strip():
+    if t != item(line):
         return "sentence", "", ""
     return "line", lead(line), last_word(line)
 
@@ -202,13 +220,13 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     null doc_id are judged like others; a repeated row gives a repeated result row; equal texts count once in
     every statistic; an empty table gives no rows.
     """
-    rows = documents.where("text IS NOT NULL").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text", F.octet_length("text").alias("bytes"))
+    rows = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text", F.octet_length("text").alias("bytes"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     counted = rows.withColumn("h", F.xxhash64("text")).mapInPandas(_count, _COUNTS)
     counts = write_table(counted.groupBy("source", "what", "key", "extra", "h").agg(F.sum("n").alias("n")).groupBy("source", "what", "key", "extra").agg(F.sum(F.when(F.col("what") == "inner", F.col("n")).otherwise(1)).alias("n")), "counts")
     profiles = _profiles(counts)
     joined = rows.join(profiles, "source", "left")
-    verdicts = write_table(joined.mapInPandas(_decide, f"doc_id {kind}, source string, why string, lead string, last string"), "verdicts")
+    verdicts = write_table(joined.mapInPandas(_decide, "doc_id string, source string, why string, lead string, last string"), "verdicts")
     # lines that start alike: inside texts where there are enough of them, else the last lines of texts
     ways = counts.where("what IN ('inner', 'final')").groupBy("source", F.col("key").alias("lead"), "what").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("extra") != "", F.col("n")).otherwise(0)).alias("open"))
     best = ways.where(F.col("n") >= LEAST).groupBy("source", "lead").agg(F.max(F.struct((F.col("what") == "inner").alias("first"), "what", "n", "open")).alias("w")).select("source", "lead", "w.what", "w.n", "w.open")
@@ -216,7 +234,7 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     ends = counts.where("what IN ('inner', 'final') AND extra <> '' AND n >= 3").select("source", F.col("key").alias("lead"), "what", F.col("extra").alias("last"))
     complete = usual.join(ends, ["source", "lead", "what"]).select("source", "lead", "last")
     asked = verdicts.where("why = 'line'").join(complete, ["source", "lead", "last"], "left_anti")
-    return verdicts.where("why <> 'line'").unionByName(asked.withColumn("why", F.lit("sentence"))).select("doc_id", "source", "why")
+    return verdicts.where("why <> 'line'").unionByName(asked.withColumn("why", F.lit("sentence"))).select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "why")
 
 
 def truncation_report(documents: DataFrame) -> DataFrame:
