@@ -147,7 +147,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             last = lines[-1]
             if 0 < len(t := flat(tail(last))) <= KEY and t != flat(item(last)):
                 single.add((source, "tail", t, None, h))
-            if _DOTS.search(last) and len(t := flat(tail(_DOTS.sub("", last)))) <= KEY:
+            if _DOTS.search(last) and 0 < len(t := flat(tail(_DOTS.sub("", last)))) <= KEY:
                 single.add((source, "dots", t, None, h))
             single.add((source, "final", lead(last), last_word(last) if tail(last) else "", h))
             for line in lines[:-1]:
