@@ -115,9 +115,14 @@ def conversation_stream(messages: DataFrame, gap: str, delay: str, contents: boo
     return judge(closed)
 
 
-def replay(spark: SparkSession, path: str, contents: bool = True, files_per_batch: int | None = None) -> DataFrame:
+#: State on disk beside the executor, so that a store larger than memory can be open at once.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def replay(spark: SparkSession, path: str, contents: bool = True, files_per_batch: int | None = None, state_store: str | None = ROCKSDB) -> DataFrame:
     """Judged conversations of the stored message table at ``path``: ``user_id, session_id, reason, turns``.
 
+    ``files_per_batch`` bounds a micro-batch and ``state_store`` names the provider of the state.
     Two runs of one streaming query over one checkpoint: all stored rows, then the end marker. The state's
     checkpoint and the result lie in the shared folder.
 
@@ -139,11 +144,18 @@ def replay(spark: SparkSession, path: str, contents: bool = True, files_per_batc
         query = found.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         query.awaitTermination()
 
-    run()
-    late = int(_MARKER_TIME.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
-    marker = spark.range(1).select(*[F.lit(_MARKER if f.name == "user_id" else late if f.name == "ingested_at_ms" else None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    marker.write.mode("append").parquet(f"{base}/marker")
-    run()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    if state_store:
+        spark.conf.set(provider, state_store)  # a query keeps the settings it starts with
+    try:
+        run()
+        late = int(_MARKER_TIME.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+        marker = spark.range(1).select(*[F.lit(_MARKER if f.name == "user_id" else late if f.name == "ingested_at_ms" else None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        marker.write.mode("append").parquet(f"{base}/marker")
+        run()
+    finally:
+        spark.conf.set(provider, before)
     judged = spark.read.schema("user_id string, session_id string, reason string, turns array<struct<speaker: string, content: string>>").parquet(f"{base}/out")
     return judged.where(F.col("user_id").isNull() | (F.col("user_id") != _MARKER))  # not in the stream: pushed below the watermark, it would hide the marker
 
