@@ -70,6 +70,8 @@ def test_cosine_pools_and_breaks_ties(spark):
     q = spark.createDataFrame([("q", "u", [1.0, 0.0])], "query_id string, user_id string, vector array<float>")
     assert [(r.id, r.rank) for r in search.cosine(q, seg, 2).orderBy("rank").collect()] == [("a", 1), ("aa", 2)]
     assert {r.id: r.score for r in search.cosine(q, seg, 9).collect()}["low"] == 0.6
+    for n in (2, 9):
+        assert sorted(map(tuple, search.cosine(q, seg, n).collect())) == sorted(map(tuple, search.cosine_in_blocks(q, seg, n).collect()))
     assert [round(x, 6) for x in spark.range(1).select(vectors.unit(F.array(F.lit(3.0), F.lit(4.0)))).first()[0]] == [0.6, 0.8]
     assert spark.range(1).select(vectors.unit(F.array(F.lit(0.0)))).first()[0] is None
 

@@ -6,6 +6,10 @@ are ranked, as the order of a distributed sum isn't fixed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +22,8 @@ QUERY_TERMS = 64
 OPTION_WEIGHT = 0.35
 RRF = 60
 DIGITS = 6
+#: Queries whose vectors are sent to every task; more are joined.
+MOST_QUERIES = 10_000
 
 
 def candidates_for(top_k: int) -> int:
@@ -67,6 +73,40 @@ def cosine(queries: DataFrame, segments: DataFrame, most: int) -> DataFrame:
     return top(pooled, ["query_id"], [F.desc("score"), F.asc("id")], most)
 
 
+def cosine_in_blocks(queries: DataFrame, segments: DataFrame, most: int) -> DataFrame:
+    """``cosine`` for a set of at most ``MOST_QUERIES`` queries: their vectors go to every task, and each Arrow block of
+    segments is one matrix product that keeps each query's best messages, ties included. A larger set is joined.
+    """
+    asked = queries.select("query_id", "user_id", "vector").where("vector IS NOT NULL")
+    if asked.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        return cosine(asked, segments, most)
+    held = asked.toPandas()
+    by_user = {u: (g["query_id"].to_list(), np.stack([np.asarray(v, float) for v in g["vector"]])) for u, g in held.groupby("user_id", dropna=False)}
+    vectors = queries.sparkSession.sparkContext.broadcast(by_user)
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *segments.schema.fields]}
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for user, group in batch.groupby("user_id", sort=False):
+                if user not in vectors.value:
+                    continue
+                ids, matrix = vectors.value[user]
+                keys, names = pd.factorize(group["id"])
+                products = np.clip(np.stack([np.asarray(v, float) for v in group["vector"]]) @ matrix.T, -1.0, 1.0)
+                best = np.full((len(names), len(ids)), -np.inf)
+                np.maximum.at(best, keys, products)
+                for j, query in enumerate(ids):
+                    column = best[:, j]
+                    least = np.partition(column, -most)[-most] - 10.0**-DIGITS if len(names) > most else -np.inf
+                    rows += [(query, user, names[i], column[i]) for i in np.flatnonzero(column >= least)]
+            yield pd.DataFrame(rows, columns=["query_id", "user_id", "id", "score"])
+
+    scored = segments.where("vector IS NOT NULL").select("user_id", "id", "vector").mapInPandas(score, f"query_id {kinds['query_id']}, user_id {kinds['user_id']}, id {kinds['id']}, score double")
+    pooled = scored.groupBy("query_id", "user_id", "id").agg(F.round(F.max("score"), DIGITS).alias("score"))
+    return top(pooled, ["query_id"], [F.desc("score"), F.asc("id")], most)
+
+
 def fuse(lexical: DataFrame, semantic: DataFrame, semantic_weight: float = 1.0, most: int = 100) -> DataFrame:
     """Weighted reciprocal rank fusion of two ranked lists; weight 0 returns the lexical list as it is.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from threadloom.operators.index import exact_tokens
 
@@ -21,12 +24,23 @@ def mean_unit(segments: DataFrame, by: list[str], vector: str = "vector") -> Dat
     return parts.join(norm.where("norm > 0"), by).select(*by, "pos", (F.col("x") / F.col("norm")).alias("value"))
 
 
-def hashed_components(texts: DataFrame, by: list[str], text: str, dimensions: int = 64) -> DataFrame:
-    """Sparse unit vectors of token counts, each token in the dimension its digest names: ``by..., pos, value``.
+#: Dimensions of the stand-in vectors.
+DIMENSIONS = 64
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _counted(positions: pd.Series) -> pd.Series:
+    def one(row):
+        counts = np.bincount(row, minlength=DIMENSIONS).astype(float)
+        norm = np.sqrt((counts * counts).sum())
+        return counts / norm if norm else None
+
+    return positions.map(lambda row: None if row is None else one(np.asarray(row, int)))
+
+
+def hashed(text: Column) -> Column:
+    """Unit vector of token counts, each token in the dimension its digest names; null for a text without tokens.
 
     A stand-in for an embedding model in tests and demos: deterministic, without any claim of quality.
     """
-    pos = (F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % dimensions).alias("pos")
-    counted = texts.select(*by, F.explode(exact_tokens(F.col(text))).alias("term")).groupBy(*by, pos).agg(F.count(F.lit(1)).alias("n"))
-    norm = counted.groupBy(*by).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counted.join(norm, by).select(*by, "pos", (F.col("n") / F.col("norm")).alias("value"))
+    return _counted(F.transform(exact_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % DIMENSIONS))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import context, index, search, vectors
-from threadloom.operators.ranks import top, within_budget
+from threadloom.operators.ranks import within_budget
 from threadloom.plans.prelude import SQL_M, SQL_POSTED, SQL_QUERIES, SQL_STOP, SQL_USERS, first_messages, search_requests, sql_tokens
 from threadloom.session import write_table
 from threadloom.sources.tables import table
@@ -35,12 +35,10 @@ class _Store:
         return search.bm25(self.weighted(options), self.posted, most or search.candidates_for(TOP))
 
     def semantic(self, most: int | None = None) -> DataFrame:
-        """Cosine over sparse stand-in vectors, joined by component."""
-        asked = vectors.hashed_components(self.requests.withColumn("text", F.concat_ws("\n", "query", F.element_at("options", 1))), ["query_id", "user_id"], "text")
-        held = vectors.hashed_components(self.scoped, ["user_id", "id"], "content")
-        dots = held.join(asked.withColumnRenamed("value", "asked"), ["user_id", "pos"]).groupBy("query_id", "user_id", "id").agg(F.sum(F.col("value") * F.col("asked")).alias("s"))
-        scored = dots.withColumn("score", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "s")), search.DIGITS))
-        return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], most or search.candidates_for(TOP)).drop("s")
+        """Cosine over stand-in vectors."""
+        asked = self.requests.select("query_id", "user_id", vectors.hashed(F.concat_ws("\n", "query", F.element_at("options", 1))).alias("vector"))
+        held = self.scoped.select("user_id", "id", vectors.hashed(F.col("content")).alias("vector"))
+        return search.cosine_in_blocks(asked, held, most or search.candidates_for(TOP))
 
 
 def query_term_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +95,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     message = F.floor(F.col("vec_id") / 2).cast("string")
     segments = e.select(F.col("label").alias("user_id"), message.alias("id"), F.col("embedding").alias("vector"))
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("user_id"), F.col("embedding").alias("vector"))
-    return search.cosine(asked, segments, TOP).select("query_id", "id", "score", "rank")
+    return search.cosine_in_blocks(asked, segments, TOP).select("query_id", "id", "score", "rank")
 
 
 def segment_mean(spark: SparkSession, d: str) -> DataFrame:
