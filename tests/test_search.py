@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import STOP_WORDS, token_list
 from threadloom.operators import budgets, components, context, grading, index, ranks, search, vectors
+from threadloom.plans import searching
 
 M = "user_id string, id string, session_id string, request_id string, message_index int, role string, sequence bigint, content string, source_timestamp_ms bigint"
 
@@ -182,3 +183,13 @@ def test_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "y"), ("c", "d")], "a string, b string")
     assert {r.node: r.root for r in components.merge_roots(edges).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
     assert components.merge_roots(edges.where("a = 'y'")) is None
+
+
+def test_every_user_is_searched(spark, tmp_path):
+    rows = [(f"u{u:02}", f"m{u}-{i}", "s", "r", i, "user", u * 100 + i, f"red fox {u}", None, 0, 3, "st") for u in range(15) for i in range(20 - u)]
+    spark.createDataFrame(rows, M + ", ingested_at_ms bigint, doc_length int, store_id string").write.parquet(f"{tmp_path}/messages.parquet")
+    spark.createDataFrame([("q1", "which fox", "red"), ("q2", "what is red", "fox")], "query_id string, question string, answer string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    for query in (searching.bm25_topk, searching.rrf_fusion):
+        got = query(spark, str(tmp_path)).collect()
+        assert {r.id.split("-")[0] for r in got} == {f"m{u}" for u in range(15)}
+        assert {"q1", "q2"} < {r.query_id for r in got} and all(r.id.startswith(f"m{int(r.query_id[-2:])}-") for r in got if "@" in r.query_id)

@@ -10,7 +10,7 @@ from threadloom.functions.text import CJK_RANGES, STOP_WORDS
 from threadloom.operators.delivery import first_delivery
 from threadloom.sources.tables import table
 
-#: The largest users by message count, whose scopes the search queries are put to.
+#: The largest users by message count, in whose scopes the evaluation questions are put one after another.
 SCOPES = 9
 
 _CJK = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES)
@@ -47,9 +47,17 @@ def first_messages(spark: SparkSession, d: str, columns: list[str] | None = None
 
 
 def search_requests(spark: SparkSession, d: str, messages: DataFrame) -> DataFrame:
-    """Each evaluation question as a search in the scope of one of the largest users, its answer as an option."""
-    users = messages.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "user_id").limit(SCOPES)
+    """Each evaluation question in the scope of one of the largest users, and each user of the store asked one of the
+    questions, named ``question@user``; the question's answer is an option.
+
+    Every stored message lies in the scope of at least one search. The SQL has the first part only.
+    """
+    counted = messages.where("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("c"))
+    users = counted.orderBy(F.desc("c"), "user_id").limit(SCOPES)
     users = users.select("user_id", (F.row_number().over(Window.orderBy(F.desc("c"), "user_id")) - 1).alias("n"))
     items = table(spark, d, "eval_items").select("query_id", "question", "answer").distinct()  # 320 rows at every scale
-    numbered = items.withColumn("n", (F.row_number().over(Window.orderBy("query_id")) - 1) % SCOPES)
-    return numbered.join(users, "n").select("query_id", "user_id", F.col("question").alias("query"), F.array("answer").alias("options"))
+    numbered = items.withColumn("i", F.row_number().over(Window.orderBy("query_id")) - 1)
+    largest = numbered.withColumn("n", F.col("i") % SCOPES).join(users, "n").select("query_id", "user_id", "question", "answer")
+    drawn = F.conv(F.substring(F.md5("user_id"), 1, 8), 16, 10).cast("bigint") % items.count()
+    each = counted.select("user_id", drawn.alias("i")).join(F.broadcast(numbered), "i").select(F.concat_ws("@", "query_id", "user_id").alias("query_id"), "user_id", "question", "answer")
+    return largest.unionByName(each).select("query_id", "user_id", F.col("question").alias("query"), F.array("answer").alias("options"))

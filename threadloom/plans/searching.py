@@ -19,13 +19,10 @@ class _Store:
 
     def __init__(self, spark: SparkSession, d: str):
         self.messages = write_table(first_messages(spark, d), "messages")
-        self.requests = search_requests(spark, d, self.messages)
-        # an index answers for the users that are searched; a stored one would be pruned by user the same way
-        scope = self.requests.select("user_id").distinct()
-        self.scoped = self.messages.join(scope, "user_id", "left_semi")
-        self.posted = write_table(index.postings(self.scoped), "postings")
+        self.requests = write_table(search_requests(spark, d, self.messages), "requests")
+        self.posted = write_table(index.postings(self.messages), "postings")
         self.terms = index.term_statistics(self.posted)
-        self.users = index.user_statistics(self.scoped)
+        self.users = index.user_statistics(self.messages)
 
     def weighted(self, options: bool = True) -> DataFrame:
         asked = self.requests if options else self.requests.withColumn("options", F.array().cast("array<string>"))
@@ -37,7 +34,7 @@ class _Store:
     def semantic(self, most: int | None = None) -> DataFrame:
         """Cosine over stand-in vectors."""
         asked = self.requests.select("query_id", "user_id", vectors.hashed(F.concat_ws("\n", "query", F.element_at("options", 1))).alias("vector"))
-        held = self.scoped.select("user_id", "id", vectors.hashed(F.col("content")).alias("vector"))
+        held = self.messages.select("user_id", "id", vectors.hashed(F.col("content")).alias("vector"))
         return search.cosine_in_blocks(asked, held, most or search.candidates_for(TOP))
 
 
