@@ -193,3 +193,13 @@ def test_every_user_is_searched(spark, tmp_path):
         got = query(spark, str(tmp_path)).collect()
         assert {r.id.split("-")[0] for r in got} == {f"m{u}" for u in range(15)}
         assert {"q1", "q2"} < {r.query_id for r in got} and all(r.id.startswith(f"m{int(r.query_id[-2:])}-") for r in got if "@" in r.query_id)
+
+
+def test_cosine_leaves_out_null_vectors_both_ways(spark, monkeypatch):
+    seg = spark.createDataFrame([("u", "a", [1.0, 0.0]), ("u", "b", None), ("u", "c", [0.6, 0.8]), ("u", "c", None)], "user_id string, id string, vector array<double>")
+    q = spark.createDataFrame([("q", "u", [1.0, 0.0]), ("none", "u", None)], "query_id string, user_id string, vector array<double>")
+    want = [("q", "u", "a", 1.0, 1), ("q", "u", "c", 0.6, 2)]
+    assert sorted(map(tuple, search.cosine(q, seg, 9).collect())) == want
+    assert sorted(map(tuple, search.cosine_in_blocks(q, seg, 9).collect())) == want
+    monkeypatch.setattr(search, "MOST_QUERIES", 0)
+    assert sorted(map(tuple, search.cosine_in_blocks(q, seg, 9).collect())) == want

@@ -64,9 +64,9 @@ def cosine(queries: DataFrame, segments: DataFrame, most: int) -> DataFrame:
     """Best segment of each message by the dot product of unit vectors, clamped to [-1, 1].
 
     ``queries``: ``query_id, user_id, vector``; ``segments``: ``user_id, id, vector``. Result: ``query_id,
-    user_id, id, score, rank``; ties go to the smaller id.
+    user_id, id, score, rank``; ties go to the smaller id. Rows without a vector are left out.
     """
-    both = segments.join(queries.withColumnRenamed("vector", "asked"), "user_id")
+    both = segments.where("vector IS NOT NULL").join(queries.where("vector IS NOT NULL").withColumnRenamed("vector", "asked"), "user_id")
     dot = F.aggregate(F.zip_with("asked", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = both.select("query_id", "user_id", "id", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)), DIGITS).alias("score"))
     pooled = scored.groupBy("query_id", "user_id", "id").agg(F.max("score").alias("score"))
