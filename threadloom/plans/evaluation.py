@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import budgets, components, grading, index, search
+from threadloom.operators.delivery import first_delivery
 from threadloom.operators.ranks import split_by_rank, top
 from threadloom.plans.prelude import SQL_M, SQL_STOP, first_messages, sql_tokens
-from threadloom.session import write_table
+from threadloom.session import settle, write_table
 from threadloom.sources.tables import table
 
 PREFIXES = (1, 5, 10, 20)
@@ -68,8 +69,10 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_allocation(spark: SparkSession, d: str) -> DataFrame:
-    samples = table(spark, d, "histories").select("sample_id").distinct()
-    return split_by_rank(samples, F.sha2("sample_id", 256)).select("sample_id", "place", "split")
+    """Splits of whole components: linked samples share a place."""
+    labels = settle(identity_components(spark, d))
+    groups = split_by_rank(labels.select("component").distinct(), F.sha2("component", 256))
+    return labels.join(groups, "component").select("sample_id", "place", "split")
 
 
 def reused_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -78,11 +81,26 @@ def reused_sessions(spark: SparkSession, d: str) -> DataFrame:
     return h.select(known.alias("conversation_id"), "original_split").where("conversation_id IS NOT NULL").groupBy("conversation_id").agg(F.count_distinct("original_split").alias("splits")).where("splits > 1")
 
 
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """``sample_id, digest`` of each session's roles and contents in order, whatever its ids and times; sessions of blanks have none.
+
+    The reference's digest holds source times too; stored ones differ in unit and may be missing, so these links are a superset.
+    """
+    sessions = table(spark, d, "histories").select("sample_id", F.explode("session_ids").alias("session_id")).distinct()
+    rows = table(spark, d, "messages").join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+    first = first_delivery(rows, ["session_id", "role", "content"])
+    one = F.struct("sequence", "id", F.md5(F.to_json(F.struct("role", "content"))).alias("digest"))
+    filled = F.max(F.coalesce(F.col("content"), F.lit("")).rlike(r"\S")).alias("filled")
+    whole = first.groupBy("session_id").agg(F.sort_array(F.collect_list(one)).alias("rows"), filled).where("filled")
+    return whole.select("session_id", F.sha2(F.concat_ws(",", "rows.digest"), 256).alias("digest")).join(sessions, "session_id").select("sample_id", "digest")
+
+
 def _component_links(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "histories")
     known = lambda c: F.when(~F.lower(F.trim(c)).isin(*NOBODY), F.col(c))
     one = lambda c, p: h.select(F.concat(F.lit("s:"), "sample_id").alias("a"), F.concat(F.lit(p), known(c)).alias("b"))
-    return one("user_id", "u:").unionByName(one("conversation_id", "v:")).where("b IS NOT NULL").distinct()
+    shared = _transcripts(spark, d).select(F.concat(F.lit("s:"), "sample_id").alias("a"), F.concat(F.lit("x:"), "digest").alias("b"))
+    return one("user_id", "u:").unionByName(one("conversation_id", "v:")).unionByName(shared).where("b IS NOT NULL").distinct()
 
 
 def identity_components(spark: SparkSession, d: str) -> DataFrame:
@@ -94,12 +112,21 @@ def identity_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def governance_partition(spark: SparkSession, d: str) -> DataFrame:
-    """Components whose samples lie in several splits go to development, others keep theirs."""
-    labels = identity_components(spark, d)
+    """Components whose samples lie in several splits go to development, others keep theirs. The tables name no used identities."""
     h = table(spark, d, "histories").select("sample_id", "original_split").distinct()
+    return partitions(h, settle(identity_components(spark, d)))
+
+
+def partitions(h: DataFrame, labels: DataFrame, links: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
+    """Partition of each component; one that has a used identity (``used``: ``b``, as in ``links``) goes to development."""
+    spoiled = labels.select(F.lit(None).cast("string").alias("component")).limit(0)
+    if used is not None:
+        hit = links.join(used.select("b").distinct(), "b", "left_semi").select(F.substring("a", 3, 2**31 - 1).alias("sample_id")).distinct()
+        spoiled = labels.join(hit, "sample_id", "left_semi").select("component").distinct()
     verdict = h.join(labels, "sample_id").groupBy("component").agg(F.count_distinct("sample_id").alias("members"), F.min("original_split").alias("low"), F.max("original_split").alias("high"))
+    marked = verdict.join(spoiled.withColumn("used", F.lit(True)), "component", "left")
     draw = F.conv(F.substring(F.sha2("component", 256), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    return verdict.select("component", "members", F.when(F.col("low") != F.col("high"), "development").otherwise(F.col("low")).alias("partition"), F.round(draw, 9).alias("draw"))
+    return marked.select("component", "members", F.when(F.col("used") | (F.col("low") != F.col("high")), "development").otherwise(F.col("low")).alias("partition"), F.round(draw, 9).alias("draw"))
 
 
 def rerank_order(spark: SparkSession, d: str) -> DataFrame:
