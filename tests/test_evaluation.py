@@ -24,3 +24,13 @@ def test_equal_transcripts_link_samples(spark, tmp_path):
     known = spark.read.parquet(f"{d}/histories.parquet").select("sample_id", "original_split")
     got = evaluation.partitions(known, evaluation.identity_components(spark, d), evaluation._component_links(spark, d), used)
     assert {r.component for r in got.where(F.col("partition") == "development").collect()} == {"a", "g"}
+
+
+def test_rerank_is_a_permutation_of_the_whole_list(spark, tmp_path):
+    rows = [(i, [((i * 7) % 50) / 100], f"l{i // 360}") for i in range(720)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = evaluation.rerank_order(spark, str(tmp_path)).collect()
+    for label in ("l0", "l1"):
+        mine = sorted((r for r in got if r.query_id == label), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, 121)) and len({r.item for r in mine}) == 120
+        assert [(-r.score, r.item) for r in mine] == sorted((-r.score, r.item) for r in mine)

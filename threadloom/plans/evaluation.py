@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.operators import budgets, components, grading, index, search
 from threadloom.operators.delivery import first_delivery
-from threadloom.operators.ranks import split_by_rank, top
+from threadloom.operators.ranks import split_by_rank
 from threadloom.plans.prelude import SQL_M, SQL_STOP, first_messages, sql_tokens
 from threadloom.session import settle, write_table
 from threadloom.sources.tables import table
@@ -130,10 +131,10 @@ def partitions(h: DataFrame, labels: DataFrame, links: DataFrame | None = None,
 
 
 def rerank_order(spark: SparkSession, d: str) -> DataFrame:
-    """Best window of each item decides its place; ties keep the order they came in."""
+    """Best window of each item decides its place, a permutation of the whole list; ties keep the order they came in."""
     e = table(spark, d, "embeddings").select(F.col("label").alias("query_id"), F.floor(F.col("vec_id") / 3).alias("item"), F.round(F.element_at("embedding", 1).cast("double"), 2).alias("score"))
     best = e.groupBy("query_id", "item").agg(F.max("score").alias("score"))
-    return top(best, ["query_id"], [F.desc("score"), F.asc("item")], 50).select("query_id", "item", "score", "rank")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item"))).select("query_id", "item", "score", "rank")
 
 
 def chunk_requests(spark: SparkSession, d: str) -> DataFrame:
