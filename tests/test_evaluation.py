@@ -34,3 +34,14 @@ def test_rerank_is_a_permutation_of_the_whole_list(spark, tmp_path):
         mine = sorted((r for r in got if r.query_id == label), key=lambda r: r.rank)
         assert [r.rank for r in mine] == list(range(1, 121)) and len({r.item for r in mine}) == 120
         assert [(-r.score, r.item) for r in mine] == sorted((-r.score, r.item) for r in mine)
+
+
+def test_texts_are_found_in_documents_of_any_language(spark, tmp_path):
+    items = [("q1", "d", "dev", "c", "en", "which heron", "heron", "the grey heron"), ("q2", "d", "dev", "c", "de", "welcher Reiher", "Reiher", "der Reiher")]
+    spark.createDataFrame(items, "query_id string, dataset string, original_split string, category string, lang string, question string, answer string, gold_text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    docs = [(1, "see the grey heron", "en"), (2, "on the grey heron there", None), (3, "of the grey heron", "de"), (4, "nur der Reiher", "fr"), (5, None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    assert {(r.doc_id, r.query_id) for r in evaluation.gold_contains(spark, d).collect()} == {(1, "q1"), (2, "q1"), (3, "q1"), (4, "q2")}
+    assert {(r.query_id, r.unit_id): r.frequency for r in evaluation.text_frequency(spark, d).collect()} == {("q1", "gold"): 3, ("q1", "question"): 0, ("q2", "gold"): 1, ("q2", "question"): 0}
+    assert {(r.query_id, r.hit) for r in evaluation.k_prefix_recall(spark, d).where("k = 20").collect()} == {("q1", 1), ("q2", 1)}

@@ -19,15 +19,15 @@ NOBODY = ("", "-", "0", "n/a", "none", "null", "unknown", "anonymous")
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    """Question and gold text of each item, in the scope of its language; a fixed table of 320 items."""
+    """Question and gold text of each item; a fixed table of 320 items."""
     i = table(spark, d, "eval_items")
     return i.select("query_id", "category", "lang", F.explode(F.array(F.struct(F.lit("question").alias("unit_id"), F.col("question").alias("text")), F.struct(F.lit("gold").alias("unit_id"), F.col("gold_text").alias("text")))).alias("u")).select("query_id", "category", "lang", "u.unit_id", "u.text")
 
 
 def gold_contains(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "lang", F.col("text").alias("body"))
-    units = F.broadcast(_units(spark, d).where("length(text) > 0"))  # the stated set of items, against all rows
-    return docs.join(units, "lang").where(F.col("body").contains(F.col("text"))).select("doc_id", "query_id", "unit_id")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("body"))
+    units = F.broadcast(_units(spark, d).where("length(text) > 0"))  # the stated set of items, against all rows of every language
+    return docs.join(units, F.col("body").contains(F.col("text"))).select("doc_id", "query_id", "unit_id")
 
 
 def text_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -36,9 +36,10 @@ def text_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, d: str, column: str) -> DataFrame:
-    """BM25 of a text column of the items over documents, scoped by language: ``query_id, id, rank``."""
-    docs = table(spark, d, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("user_id"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("sequence"), F.col("text").alias("content"))
-    asked = table(spark, d, "eval_items").select("query_id", F.col("lang").alias("user_id"), F.col(column).alias("query"), F.array().cast("array<string>").alias("options"))
+    """BM25 of a text column of the items over all documents, one scope: ``query_id, id, rank``."""
+    every = F.lit("documents").alias("user_id")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(every, F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("sequence"), F.col("text").alias("content"))
+    asked = table(spark, d, "eval_items").select("query_id", every, F.col(column).alias("query"), F.array().cast("array<string>").alias("options"))
     posted = write_table(index.postings(docs), "postings")
     users = index.user_statistics(docs)
     weighted = search.weighted_terms(asked, index.term_statistics(posted), users)
