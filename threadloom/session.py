@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,14 +29,17 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can read.
 
-    Where the cluster names none (tests on one machine), a fresh local folder is made and set as the
-    session's checkpoint folder, so that ``DataFrame.checkpoint`` and written tables go to the same place.
+    Where a session on one machine names none (tests), a fresh local folder is made and set as its checkpoint
+    folder, so that ``DataFrame.checkpoint`` and written tables go to the same place. On a cluster a folder of
+    the driver's machine would be lost to the executors, so there a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         named = context.getCheckpointDir()
         if not named:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="spark-shared-")
             context.setCheckpointDir(named)
     return named.rstrip("/")
