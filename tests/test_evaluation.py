@@ -17,17 +17,19 @@ def test_equal_transcripts_link_samples(spark, tmp_path):
     spark.createDataFrame(rows + rows[:2], MESSAGE).write.parquet(f"{tmp_path}/messages.parquet")
     d = str(tmp_path)
     assert {r.sample_id: r.component for r in evaluation.identity_components(spark, d).collect()} == {"a": "a", "b": "a", "c": "a", "e": "e", "f": "f", "g": "g"}
-    assert {r.component: r.partition for r in evaluation.governance_partition(spark, d).collect()} == {"a": "development", "e": "heldout", "f": "heldout", "g": "validation"}
+    assert {r.component: r.partition for r in evaluation.governance_partition(spark, d).collect()} == {"a": "development", "e": "holdout", "f": "holdout", "g": "validation"}
     placed = {r.sample_id: (r.place, r.split) for r in evaluation.split_allocation(spark, d).collect()}
     assert placed["a"] == placed["b"] == placed["c"] and len({p for p, _ in placed.values()}) == 4
     used = spark.createDataFrame([("u:u7",)], "b string")
     known = spark.read.parquet(f"{d}/histories.parquet").select("sample_id", "original_split")
     got = evaluation.partitions(known, evaluation.identity_components(spark, d), evaluation._component_links(spark, d), used)
-    assert {r.component for r in got.where(F.col("partition") == "development").collect()} == {"a", "g"}
+    assert {(r.component, r.reason) for r in got.where(F.col("partition") == "development").collect()} == {("a", "several splits"), ("g", "used before")}
+    drawn = evaluation.partitions(known, evaluation.identity_components(spark, d), evaluation._component_links(spark, d), used, (0.5, 0.5)).collect()
+    assert {r.component: r.reason for r in drawn} == {"a": "drawn", "e": "drawn", "f": "drawn", "g": "used before"} and all(r.partition in ("validation", "holdout") for r in drawn if r.component != "g")
 
 
 def test_rerank_is_a_permutation_of_the_whole_list(spark, tmp_path):
-    rows = [(i, [((i * 7) % 50) / 100], f"l{i // 360}") for i in range(720)]
+    rows = [(i, [1.0] if i % 50 == 0 else [((i * 7) % 50) / 100], f"l{i // 360}") for i in range(720)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = evaluation.rerank_order(spark, str(tmp_path)).collect()
     for label in ("l0", "l1"):

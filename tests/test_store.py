@@ -1,4 +1,3 @@
-import datetime
 import json
 
 import pytest
@@ -9,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import token_list
 from threadloom.operators import index, skewed_totals, store
 from threadloom.operators.delivery import first_delivery
+from threadloom.operators.memory import Memory
 from threadloom.sources import formats, snapshots
 from threadloom.streaming import ingest as streaming
 
@@ -84,16 +84,68 @@ def test_ingest_retries_conflicts_and_sequences(spark):
     assert got == {1: ("new", 11), 2: ("retry", None), 3: ("conflict", None), 4: ("retry", None), 5: ("new", 12), 6: ("conflict", None)}
 
 
-def test_streaming_ingest(spark, tmp_path):
-    inbox, out, state = (str(tmp_path / x) for x in ("in", "store", "state"))
-    first = spark.createDataFrame([("u", "r1", "A", 1), ("u", "r2", "B", 2)], streaming.REQUEST)
-    first.write.mode("append").parquet(inbox)
-    run = lambda: streaming.follow_requests(spark.readStream.schema(streaming.REQUEST).parquet(inbox), out, state).awaitTermination()
+def arrivals(spark, rows):
+    """(request, arrival, [contents]) of one user as message rows."""
+    return spark.createDataFrame([("u", "s", r, i, "user" if i % 2 == 0 else "assistant", t, None, at) for r, at, texts in rows for i, t in enumerate(texts)], streaming.MESSAGE)
+
+
+def ask(spark, text, user="u"):
+    return spark.createDataFrame([("q", user, text, None)], "query_id string, user_id string, query string, options array<string>")
+
+
+def test_memory_adds_are_found_at_once(spark, tmp_path):
+    memory = Memory(spark, str(tmp_path / "memory"))
+    assert memory.lexical(ask(spark, "red"), 9).count() == 0
+    status = lambda df: {r.arrival: r.status for r in df.collect()}
+    assert status(memory.add(arrivals(spark, [("r1", 1, ["red fox", "blue hen"]), ("r2", 2, ["red cow"]), ("bad", 3, ["fine", " "])]))) == {1: "new", 2: "new", 3: "invalid"}
+    assert memory.lexical(ask(spark, "red"), 9).count() == 2 and memory.lexical(ask(spark, "fine"), 9).count() == 0
+    before = memory.high_water()
+    assert status(memory.add(arrivals(spark, [("r1", 4, ["red fox", "blue hen"]), ("r2", 5, ["red cat"]), ("r3", 6, ["red hen"])]), "second")) == {4: "retry", 5: "conflict", 6: "new"}
+    assert memory.add(arrivals(spark, [("r9", 7, ["never"])]), "second").count() == 0
+    hits = memory.lexical(ask(spark, "red"), 9).orderBy("sequence").collect()
+    assert [r.sequence for r in hits] == [1, 3, 4] and before == 3 and memory.high_water() == 4
+    assert memory.lexical(ask(spark, "red", "v"), 9).count() == 0
+    users = memory.read("users").collect()
+    assert [tuple(r) for r in users] == [("u", 4, 8)]
+    assert {r.term: r.document_count for r in memory.read("terms").collect()} == {"red": 3, "fox": 1, "blue": 1, "hen": 2, "cow": 1}
+    small = memory.compact(str(tmp_path / "small"))
+    assert sorted(map(tuple, small.lexical(ask(spark, "red"), 9).collect())) == sorted(map(tuple, hits)) and small.high_water() == 4
+    assert status(small.add(arrivals(spark, [("r3", 8, ["red hen"])]))) == {8: "retry"}
+
+
+def test_a_failed_add_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    memory = Memory(spark, str(tmp_path / "memory"))
+    memory.add(arrivals(spark, [("r1", 1, ["red fox"])]))
+    from threadloom.operators import index
+
+    monkeypatch.setattr(index, "term_statistics", lambda posted: posted.select(F.raise_error(F.lit("down")).cast("string").alias("user_id")))
+    with pytest.raises(Exception, match="down"):
+        memory.add(arrivals(spark, [("r2", 2, ["red cow"])]))
+    monkeypatch.undo()
+    assert memory.lexical(ask(spark, "red"), 9).count() == 1 and memory.high_water() == 1
+    assert [r.status for r in memory.add(arrivals(spark, [("r2", 2, ["red cow"])])).collect()] == ["new"]
+    assert [r.sequence for r in memory.lexical(ask(spark, "red"), 9).orderBy("sequence").collect()] == [1, 2]
+
+
+def test_streaming_adds(spark, tmp_path):
+    inbox, state = (str(tmp_path / x) for x in ("in", "state"))
+    memory = Memory(spark, str(tmp_path / "memory"))
+    run = lambda: streaming.follow_requests(spark.readStream.schema(streaming.MESSAGE).parquet(inbox), memory, state).awaitTermination()
+    arrivals(spark, [("r1", 1, ["red fox"]), ("r2", 2, ["red cow"])]).write.mode("append").parquet(inbox)
     run()
-    spark.createDataFrame([("u", "r1", "A", 3), ("u", "r2", "X", 4), ("u", "r9", "C", 5)], streaming.REQUEST).write.mode("append").parquet(inbox)
+    assert memory.lexical(ask(spark, "red"), 9).count() == 2
+    arrivals(spark, [("r1", 3, ["red fox"]), ("r2", 4, ["other"]), ("r9", 5, ["red hen"])]).write.mode("append").parquet(inbox)
     run()
-    got = {r.arrival: (r.status, r.sequence) for r in spark.read.parquet(out).collect()}
-    assert got == {1: ("new", 1), 2: ("new", 2), 3: ("retry", None), 4: ("conflict", None), 5: ("new", 3)}
+    assert [r.sequence for r in memory.lexical(ask(spark, "red"), 9).orderBy("sequence").collect()] == [1, 2, 3]
+
+
+def test_streaming_statistics(spark, tmp_path):
+    rows = [("a", "st", "u", 3, 1000), ("a", "st", "u", 3, 2000), ("b", "st", "u", 4, 3000), ("c", "st", "v", None, 4000)]
+    spark.createDataFrame(rows, "id string, store_id string, user_id string, doc_length int, ingested_at_ms bigint").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, store_id string, user_id string, doc_length int, ingested_at_ms bigint").parquet(str(tmp_path / "in"))
+    query = streaming.running_statistics(stream).writeStream.outputMode("complete").format("memory").queryName("running").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.user_id: (r.message_count, r.total_length) for r in spark.table("running").collect()} == {"u": (2, 7), "v": (1, None)}
 
 
 def test_formats(spark, tmp_path):
@@ -134,4 +186,3 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.read(spark, path, "t").count() == 5 and snapshots.read(spark, path, "t", 1).count() == 3
     with pytest.raises(ValueError):
         snapshots.read(spark, path, "t", 9)
-    assert datetime.date.today()

@@ -13,19 +13,21 @@ def chunk_messages(messages: DataFrame, most_messages: int = CHUNK_MESSAGES, mos
     """Adds ``chunk``, the number of the request each message of a session is sent in, counted from 0.
 
     A chunk is closed before a message that would be its 21st or would take it over the word limit; a message
-    over the limit is a chunk by itself. The state of the fold is three numbers and the result; contents stay
-    out of it.
+    over the limit is a chunk by itself. The state of the fold is three numbers and where chunks start; contents
+    stay out of it, and each message is looked at once.
     """
     words = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", 0).otherwise(F.size(F.split(F.trim("content"), r"(?U)\s+")))
     sessions = messages.select("user_id", "session_id", F.struct("sequence", "id", words.alias("words")).alias("m")).groupBy("user_id", "session_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    folded = F.expr(
-        f"""aggregate(ms, named_struct('n', 0, 'w', 0, 'c', 0, 'out', CAST(array() AS array<struct<id:string,chunk:int>>)),
-        (a, m) -> CASE WHEN a.n > 0 AND (a.n >= {int(most_messages)} OR a.w + m.words > {int(most_words)})
-          THEN named_struct('n', 1, 'w', m.words, 'c', a.c + 1, 'out', array_append(a.out, named_struct('id', m.id, 'chunk', a.c + 1)))
-          ELSE named_struct('n', a.n + 1, 'w', a.w + m.words, 'c', a.c, 'out', array_append(a.out, named_struct('id', m.id, 'chunk', a.c))) END,
-        a -> a.out)"""
+    starts = F.expr(
+        f"""aggregate(ms, named_struct('at', 1, 'n', 0, 'w', 0, 'starts', array(1)),
+        (a, m) -> IF(a.n > 0 AND (a.n >= {int(most_messages)} OR a.w + m.words > {int(most_words)}),
+          named_struct('at', a.at + 1, 'n', 1, 'w', m.words, 'starts', array_append(a.starts, a.at)),
+          named_struct('at', a.at + 1, 'n', a.n + 1, 'w', a.w + m.words, 'starts', a.starts)),
+        a -> a.starts)"""
     )
-    return sessions.select("user_id", "session_id", F.explode(folded).alias("x")).select("user_id", "session_id", "x.id", "x.chunk")
+    begun = sessions.withColumn("starts", starts)
+    cut = begun.select("user_id", "session_id", F.posexplode(F.expr("transform(starts, (b, c) -> slice(ms, b, coalesce(get(starts, c + 1), size(ms) + 1) - b))")).alias("chunk", "part"))
+    return cut.select("user_id", "session_id", F.explode("part.id").alias("id"), "chunk")
 
 
 def ledger_totals(calls: DataFrame, by: list[str]) -> DataFrame:
@@ -37,20 +39,3 @@ def ledger_totals(calls: DataFrame, by: list[str]) -> DataFrame:
         F.sum("reserved").alias("reserved"),
         F.sum(F.coalesce("actual", "reserved")).alias("accounted"),
     )
-
-
-def settle_ledger(reserved: list[int], actual: list[int | None], budget: int, most_calls: int) -> list[tuple[int, str]]:
-    """Accounted tokens and outcome of each call in order: reserve, settle, and stop for good at a limit."""
-    spent, out, stopped = 0, [], ""
-    for i, (r, a) in enumerate(zip(reserved, actual)):
-        if not stopped and i >= most_calls:
-            stopped = "request_limit"
-        if not stopped and spent + r > budget:
-            stopped = "token_limit"
-        if stopped:
-            out.append((0, stopped))
-            continue
-        cost = r if a is None else a
-        spent += cost
-        out.append((cost, "settled" if a is not None else "reserved"))
-    return out

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.session import write_table
+
 WINDOW_CHARACTERS = 16_000
 EVIDENCE_CHARACTERS = 500_000
 BETWEEN = "\n\n[adjacent context]\n"
@@ -64,61 +63,57 @@ def neighbours(messages: DataFrame, radius: int) -> DataFrame:
     return marked.select("user_id", "session_id", "id", F.when(F.col("by_time"), F.col("t0")).otherwise(F.col("a0")).alias("before"), F.when(F.col("by_time"), F.col("t1")).otherwise(F.col("a1")).alias("after"), "by_time")
 
 
-def pack(anchors: list[tuple[str, str, float, list[tuple[str, str]]]], grouping: str = "reserved", window: int = WINDOW_CHARACTERS, most: int = EVIDENCE_CHARACTERS) -> list[tuple[str, str, float]]:
-    """Items of one ranked list of (id, evidence, score, neighbours); each decision depends on those before it.
-
-    A neighbour that doesn't fit the window is passed over and later ones are still tried; the first item that
-    doesn't fit the total ends the list. The first item is kept whole whatever its size. ``reserved``: a
-    ranked message is never the context of another; ``emitted``: what was context is no item any more.
+#: One step per ranked message over ids and lengths only. ``seen``: ids shown so far, ``used``: characters, ``open``: whether
+#: the list goes on, ``kept``: the items so far. ``:window`` and ``:most`` are the two limits.
+_FOLD = """aggregate(lists,
+  named_struct('seen', CAST(array() AS array<string>), 'used', 0L, 'open', true, 'kept', CAST(array() AS array<struct<id: string, score: double, parts: array<string>>>)),
+  (s, x) -> IF(NOT s.open OR :skip, s,
+    CASE WHEN size(s.kept) > 0 AND s.used + :item.size > :most
+      THEN named_struct('seen', s.seen, 'used', s.used, 'open', false, 'kept', s.kept)
+      ELSE named_struct('seen', array_union(s.seen, :item.parts), 'used', s.used + :item.size, 'open', true,
+        'kept', array_append(s.kept, named_struct('id', x.id, 'score', x.score, 'parts', :item.parts))) END),
+  s -> s.kept)"""
+#: The parts of one item and their joint size: each neighbour that is free and still fits is taken.
+_ITEM = """aggregate(filter(x.near, n -> NOT array_contains(s.seen, n.id) AND :free), named_struct('parts', array(x.id), 'size', x.size),
+  (i, n) -> IF(array_contains(i.parts, n.id) OR i.size + :between + n.size > :window, i,
+    named_struct('parts', array_append(i.parts, n.id), 'size', i.size + :between + n.size)))"""
+
+
+def fold_items(lists: DataFrame, grouping: str, window: int = WINDOW_CHARACTERS, most: int = EVIDENCE_CHARACTERS) -> DataFrame:
+    """Adds ``kept``, the items of each ranked list as ``array<struct<id, score, parts>>``, from ids and sizes.
+
+    ``lists``: ``array<struct<id, size: bigint, score, near: array<struct<id, size: bigint>>>>`` in rank order. A neighbour
+    that doesn't fit the window is passed over and later ones are still tried; the first item that doesn't fit the total ends
+    the list. The first item is kept whole whatever its size. ``reserved``: a ranked message is never the context of another;
+    ``emitted``: what was context is no item any more.
     """
-    ranked = {a[0] for a in anchors}
-    shown: set[str] = set()
-    items: list[tuple[str, str, float]] = []
-    total = 0
-    for key, text, score, near in anchors:
-        if grouping == "emitted" and key in shown:
-            continue
-        taken = [key]
-        for other, other_text in near:
-            blocked = other in shown or other in taken or (grouping == "reserved" and other in ranked)
-            if not blocked and len(text) + len(BETWEEN) + len(other_text) <= window:
-                text += BETWEEN + other_text
-                taken.append(other)
-        if items and total + len(text) > most:
-            return items
-        items.append((key, text, score))
-        total += len(text)
-        shown.update(taken)
-    return items
+    skip, free = {"reserved": ("false", "NOT array_contains(ranked, n.id)"), "emitted": ("array_contains(s.seen, x.id)", "true")}[grouping]
+    item = _ITEM.replace(":free", free).replace(":between", str(len(BETWEEN))).replace(":window", str(int(window)))
+    fold = _FOLD.replace(":skip", skip).replace(":most", str(int(most))).replace(":item", f"({item})")
+    return lists.withColumn("ranked", F.transform("lists", lambda x: x["id"])).withColumn("kept", F.expr(fold)).drop("ranked")
 
 
 def evidence_items(ranked: DataFrame, messages: DataFrame, radius: int = 1, grouping: str = "reserved", window: int = WINDOW_CHARACTERS, most: int = EVIDENCE_CHARACTERS) -> DataFrame:
     """``query_id, place, id, content, score`` of every ranked list (at most a hundred anchors each).
 
-    Texts are joined after ranking, for final ids and their neighbours only.
+    Neighbours are sought in the sessions of the ranked messages only. What is folded is ids and lengths; texts are
+    joined afterwards, for the messages that are shown.
     """
-    near = neighbours(messages, radius).select("user_id", "id", F.concat("before", "after").alias("near"))
+    sized = messages.select("user_id", "session_id", "id", "sequence", "source_timestamp_ms", F.length(evidence()).cast("bigint").alias("size"))
+    hits = ranked.select("query_id", "user_id", "id", "rank", F.col("score").cast("double").alias("score"))
+    sessions = sized.join(hits.select("user_id", "id").distinct(), ["user_id", "id"], "left_semi").select("user_id", "session_id").distinct()
+    inside = write_table(sized.join(sessions, ["user_id", "session_id"], "left_semi"), "sessions")
+    near = neighbours(inside, radius).select("user_id", "id", F.concat("before", "after").alias("near"))
+    placed = hits.join(near, ["user_id", "id"]).select("query_id", "user_id", "rank", "score", F.col("id").alias("anchor"), F.posexplode(F.concat(F.array("id"), F.col("near"))).alias("pos", "id"))
+    ones = placed.join(inside.select("user_id", "id", "size"), ["user_id", "id"]).groupBy("query_id", "user_id", "rank", "score", "anchor").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "size"))).alias("xs"))
+    strip = lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"))
+    one = F.struct("rank", F.col("anchor").alias("id"), F.col("xs")[0]["size"].alias("size"), "score", F.transform(F.filter("xs", lambda x: x["pos"] > 0), strip).alias("near"))
+    lists = ones.groupBy("query_id", "user_id").agg(F.sort_array(F.collect_list(one)).alias("lists"))
+    kept = fold_items(lists, grouping, window, most).select("query_id", "user_id", F.posexplode("kept").alias("at", "k"))
+    shown = kept.select("query_id", "user_id", (F.col("at") + 1).alias("place"), F.col("k.id").alias("item"), "k.score", F.posexplode("k.parts").alias("pos", "id"))
     texts = messages.select("user_id", "id", evidence().alias("text"))
-    wanted = ranked.join(near, ["user_id", "id"])
-    pairs = wanted.select("query_id", "user_id", "rank", "score", F.col("id").alias("anchor"), F.posexplode(F.concat(F.array("id"), F.col("near"))).alias("pos", "id"))
-    held = pairs.join(texts, ["user_id", "id"])
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "pos"])
-        anchors = []
-        for _, rows in group.groupby("rank", sort=True):
-            near = list(zip(rows["id"].iloc[1:], rows["text"].iloc[1:]))
-            anchors.append((rows["id"].iloc[0], rows["text"].iloc[0], float(rows["score"].iloc[0]), near))
-        items = pack(anchors, grouping, window, most)
-        return pd.DataFrame([(group["query_id"].iloc[0], i + 1, *item) for i, item in enumerate(items)], columns=["query_id", "place", "id", "content", "score"])
-
-    return held.groupBy("query_id").applyInPandas(fold, "query_id string, place int, id string, content string, score double")
-
-
-def byte_segments(texts: Iterator[pd.Series], most: int) -> Iterator[pd.Series]:
-    """Arrow batches of texts cut on character boundaries into pieces of at most ``most`` UTF-8 bytes."""
-    for batch in texts:
-        yield batch.map(lambda t: cut_bytes(t or "", most))
+    told = shown.join(texts, ["user_id", "id"]).groupBy("query_id", "place", F.col("item").alias("id"), "score").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("ts"))
+    return told.select("query_id", "place", "id", F.array_join("ts.text", BETWEEN).alias("content"), "score")
 
 
 def cut_bytes(text: str, most: int) -> list[str]:

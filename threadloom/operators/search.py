@@ -45,7 +45,12 @@ def term_weights(queries: DataFrame) -> DataFrame:
 
 def weighted_terms(queries: DataFrame, terms: DataFrame, users: DataFrame) -> DataFrame:
     """``query_id, user_id, term, weight, idf, average``: the terms the user's messages have, best 64 per query."""
-    found = term_weights(queries).join(terms, ["user_id", "term"]).join(users, "user_id")
+    return weigh(term_weights(queries), terms, users)
+
+
+def weigh(asked: DataFrame, terms: DataFrame, users: DataFrame) -> DataFrame:
+    """``weighted_terms`` of the result of ``term_weights``."""
+    found = asked.join(terms, ["user_id", "term"]).join(users, "user_id")
     idf = F.round(F.log(1 + (F.col("message_count") - F.col("document_count") + 0.5) / (F.col("document_count") + 0.5)), 12)
     scored = found.select("query_id", "user_id", "term", "weight", idf.alias("idf"), F.greatest(F.col("total_length") / F.col("message_count"), F.lit(1.0)).alias("average"))
     return top(scored, ["query_id"], [F.desc("weight"), F.desc("idf"), F.asc("term")], QUERY_TERMS, "place").drop("place")

@@ -36,9 +36,10 @@ FROM (SELECT user_id, id, sequence, ts, unnest(ts) AS term FROM (SELECT user_id,
 GROUP BY ALL"""
 SQL_USERS = f"SELECT user_id, count(*) AS message_count, CAST(sum(len({sql_tokens('content')})) AS BIGINT) AS total_length FROM m GROUP BY user_id"
 SQL_STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
-SQL_QUERIES = f"""SELECT q.query_id, u.user_id, q.question AS query, [q.answer] AS options
-FROM (SELECT query_id, question, answer, (row_number() OVER (ORDER BY query_id) - 1) % {SCOPES} AS n FROM (SELECT DISTINCT query_id, question, answer FROM eval_items)) q
-JOIN (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS n FROM m GROUP BY user_id) u ON q.n = u.n"""
+SQL_QUERIES = f"""WITH i AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS i FROM (SELECT DISTINCT query_id, question, answer FROM eval_items)),
+c AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS n FROM m WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT query_id, user_id, question AS query, [answer] AS options FROM i JOIN c ON c.n = i.i % {SCOPES} AND c.n < {SCOPES}
+UNION ALL SELECT query_id || '@' || user_id, user_id, question, [answer] FROM c JOIN i ON i.i = CAST('0x' || substr(md5(user_id), 1, 8) AS BIGINT) % (SELECT count(*) FROM i)"""
 
 
 def first_messages(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def search_requests(spark: SparkSession, d: str, messages: DataFrame) -> DataFra
     """Each evaluation question in the scope of one of the largest users, and each user of the store asked one of the
     questions, named ``question@user``; the question's answer is an option.
 
-    Every stored message lies in the scope of at least one search. The SQL has the first part only.
+    Every stored message lies in the scope of at least one search.
     """
     counted = messages.where("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("c"))
     users = counted.orderBy(F.desc("c"), "user_id").limit(SCOPES)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from threadloom.operators import attribution, prepare
 from threadloom.plans.evaluation import NOBODY
 from threadloom.plans.prelude import SQL_M, first_messages
-from threadloom.plans.searching import _fused, _Store
+from threadloom.plans.searching import _fused, _packed, _Store
 from threadloom.operators.context import evidence_items
 from threadloom.sources.tables import table
 
@@ -65,6 +65,7 @@ ORACLES = {
     "history_prefix": f"WITH {_UNITS} SELECT sample_id, session_id, position, id FROM u WHERE position < n // 2",
     "session_parts": f"WITH m AS ({SQL_M}) SELECT id, CAST(sum(s) OVER (PARTITION BY user_id, session_id ORDER BY sequence, id) AS BIGINT) AS part FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, session_id ORDER BY sequence, id) = 1 OR lower(trim(role, ' ')) = 'system' THEN 1 ELSE 0 END AS s FROM m)",
     "occurrence_ids": "SELECT id, sequence, CASE WHEN n = 0 THEN id ELSE 'occ_' || sha256(id || chr(0) || n) END AS occurrence_id FROM (SELECT id, sequence, row_number() OVER (PARTITION BY id ORDER BY sequence) - 1 AS n FROM messages)",
+    "evidence_grounded": f"WITH RECURSIVE {_packed('reserved')} SELECT query_id, CAST(sum(len(parts)) AS BIGINT) AS parts, CAST(sum(len(parts)) AS BIGINT) AS grounded FROM kept GROUP BY query_id",
     "contaminated_histories": f"""WITH h AS (SELECT sample_id, original_split, {_known("user_id")} AS u, {_known("conversation_id")} AS c FROM histories), dev AS (SELECT * FROM h WHERE original_split = 'dev')
 SELECT DISTINCT sample_id FROM h WHERE original_split <> 'dev' AND (u IN (SELECT u FROM dev WHERE u IS NOT NULL) OR c IN (SELECT c FROM dev WHERE c IS NOT NULL))""",
 }

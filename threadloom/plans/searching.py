@@ -5,31 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import context, index, search, vectors
+from threadloom.operators import context, search, vectors
+from threadloom.operators.memory import Memory
 from threadloom.operators.ranks import within_budget
 from threadloom.plans.prelude import SQL_M, SQL_POSTED, SQL_QUERIES, SQL_STOP, SQL_USERS, first_messages, search_requests, sql_tokens
-from threadloom.session import write_table
+from threadloom.session import scratch_path, write_table
 from threadloom.sources.tables import table
 
 TOP = 20
 
 
+#: Stores that this session has built, by what they were built from.
+_BUILT: dict[tuple, str] = {}
+
+
+def memory_of(spark: SparkSession, d: str) -> Memory:
+    """The stored memory of a folder's messages, in the shared folder; built once, then every search reads it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/messages.parquet")
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    key = (spark.sparkContext.applicationId, d, status.getModificationTime(), status.getLen())
+    if key not in _BUILT:
+        memory = Memory(spark, scratch_path(spark, "memory"))
+        memory.load(first_messages(spark, d, ["user_id", "session_id", "request_id", "message_index", "role", "content", "source_timestamp_ms"]))
+        _BUILT[key] = memory.path
+    return Memory(spark, _BUILT[key])
+
+
 class _Store:
-    """One store's messages and index, made once for a query."""
+    """A folder's stored messages and the searches that are put to them."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.messages = write_table(first_messages(spark, d), "messages")
+        self.memory = memory_of(spark, d)
+        self.messages = self.memory.read("messages").drop("bucket")
         self.requests = write_table(search_requests(spark, d, self.messages), "requests")
-        self.posted = write_table(index.postings(self.messages), "postings")
-        self.terms = index.term_statistics(self.posted)
-        self.users = index.user_statistics(self.messages)
 
-    def weighted(self, options: bool = True) -> DataFrame:
-        asked = self.requests if options else self.requests.withColumn("options", F.array().cast("array<string>"))
-        return search.weighted_terms(asked, self.terms, self.users)
+    def weighted(self) -> DataFrame:
+        return self.memory.weighted(self.requests)
 
     def lexical(self, options: bool = True, most: int | None = None) -> DataFrame:
-        return search.bm25(self.weighted(options), self.posted, most or search.candidates_for(TOP))
+        asked = self.requests if options else self.requests.withColumn("options", F.array().cast("array<string>"))
+        return self.memory.lexical(asked, most or search.candidates_for(TOP))
 
     def semantic(self, most: int | None = None) -> DataFrame:
         """Cosine over stand-in vectors."""
@@ -153,16 +168,55 @@ def _semantic(most: int) -> str:
     asked = _hashed("q", "query_id, user_id", "query || chr(10) || options[1]")
     return f"""qv AS ({asked}), mv AS ({_hashed("s", "user_id, id", "content")}),
 semantic AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-SELECT query_id, qv.user_id, id, round(greatest(-1, least(1, sum(qv.value * mv.value))), 6) AS score FROM mv JOIN qv USING (user_id, pos) GROUP BY ALL) QUALIFY rank <= {most})"""
+SELECT query_id, user_id, id, round(greatest(-1, least(1, coalesce(dot, 0))), 6) AS score FROM (SELECT DISTINCT query_id, user_id FROM qv) JOIN (SELECT DISTINCT user_id, id FROM mv) USING (user_id)
+LEFT JOIN (SELECT query_id, id, sum(qv.value * mv.value) AS dot FROM mv JOIN qv USING (user_id, pos) GROUP BY ALL) USING (query_id, id)) QUALIFY rank <= {most})"""
+
+
+_RANKED = f"{_STORE}, {_weighted(True)}, {_lexical(128)}, {_semantic(128)}"
 
 
 def _rrf(weight: float) -> str:
-    return f"""WITH {_STORE}, {_weighted(True)}, {_lexical(128)}, {_semantic(128)}
-SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l NULLS LAST, id) AS rank FROM (
+    return f"""WITH {_RANKED} {_fused_sql(weight)}"""
+
+
+def _fused_sql(weight: float) -> str:
+    return f"""SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l NULLS LAST, id) AS rank FROM (
 SELECT query_id, id, round(sum(s), 9) AS score, min(l) AS l FROM (
 SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS s, rank AS l FROM lexical UNION ALL SELECT query_id, id, {weight}::DOUBLE / (60 + rank), NULL FROM semantic) GROUP BY ALL) QUALIFY rank <= {TOP}"""
 
 
+_EVIDENCE = """'[source ' || '{' || concat_ws(',', CASE WHEN role IS NOT NULL THEN '"role":' || to_json(role)::VARCHAR END, '"session_id":' || to_json(session_id)::VARCHAR,
+'"request_id":' || to_json(request_id)::VARCHAR, '"message_index":' || message_index, '"message_id":' || to_json(id)::VARCHAR, '"received_sequence":' || sequence, '"timestamp_ms":' || source_timestamp_ms,
+'"timestamp_utc":"' || CASE WHEN source_timestamp_ms BETWEEN -62135596800000 AND 253402300799999 THEN strftime(make_timestamp(source_timestamp_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') END || 'Z"') || '}]' || chr(10) || coalesce(content, '')"""
+_NEAR = """SELECT id, CASE WHEN by_time THEN t0 ELSE a0 END AS before, CASE WHEN by_time THEN t1 ELSE a1 END AS after, by_time FROM (SELECT id,
+count(CASE WHEN source_timestamp_ms IS NULL THEN 1 END) OVER (PARTITION BY user_id, session_id ORDER BY sequence, id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 0 AS by_time,
+lag(id) OVER a AS a0, lead(id) OVER a AS a1, lag(id) OVER t AS t0, lead(id) OVER t AS t1 FROM m
+WINDOW a AS (PARTITION BY user_id, session_id ORDER BY sequence, id), t AS (PARTITION BY user_id, session_id, source_timestamp_ms IS NULL ORDER BY source_timestamp_ms, sequence, id))"""
+
+
+def _packed(grouping: str) -> str:
+    """CTEs of the items of the fused lists; ``kept`` has a row per item with its parts. Needs WITH RECURSIVE."""
+    gap, reserved = len(context.BETWEEN), grouping == "reserved"
+    free = lambda c: f"x.{c} IS NOT NULL AND NOT list_contains(seen, x.{c}) AND x.{c} <> x.id" + (f" AND NOT {c}_ranked" if reserved else "")
+    return f"""{_RANKED}, r AS ({_fused_sql(1.0)}), n AS ({_NEAR}), e AS (SELECT id, {_EVIDENCE} AS text FROM m),
+x AS (SELECT r.query_id, r.rank, r.id, r.score, length(e.text) AS size, n.before, n.after, length(b.text) AS before_size, length(a.text) AS after_size,
+  exists(SELECT 1 FROM r AS o WHERE o.query_id = r.query_id AND o.id = n.before) AS before_ranked, exists(SELECT 1 FROM r AS o WHERE o.query_id = r.query_id AND o.id = n.after) AS after_ranked
+  FROM r JOIN n USING (id) JOIN e USING (id) LEFT JOIN e AS b ON b.id = n.before LEFT JOIN e AS a ON a.id = n.after),
+f AS (SELECT DISTINCT query_id, 0::BIGINT AS rank, NULL::VARCHAR AS id, NULL::DOUBLE AS score, []::VARCHAR[] AS seen, 0::BIGINT AS used, 0::BIGINT AS place, true AS going, false AS taken, []::VARCHAR[] AS parts FROM r
+  UNION ALL SELECT query_id, rank, id, score, CASE WHEN fits THEN list_concat(seen, said) ELSE seen END, used + CASE WHEN fits THEN total ELSE 0 END, place + CASE WHEN fits THEN 1 ELSE 0 END, going AND (fits OR skipped), fits, said FROM (
+    SELECT *, going AND NOT skipped AND (place = 0 OR used + total <= {context.EVIDENCE_CHARACTERS}) AS fits, list_concat([id], list_concat(CASE WHEN first THEN [before] ELSE [] END, CASE WHEN second THEN [after] ELSE [] END)) AS said FROM (
+      SELECT *, size + CASE WHEN first THEN {gap} + before_size ELSE 0 END + CASE WHEN second THEN {gap} + after_size ELSE 0 END AS total FROM (
+        SELECT *, second_free AND size + CASE WHEN first THEN {gap} + before_size ELSE 0 END + {gap} + after_size <= {context.WINDOW_CHARACTERS} AS second FROM (
+          SELECT x.*, f.seen, f.used, f.place, f.going, {"false" if reserved else "list_contains(f.seen, x.id)"} AS skipped, {free("before")} AND x.size + {gap} + x.before_size <= {context.WINDOW_CHARACTERS} AS first,
+            {free("after")} AND x.after IS DISTINCT FROM x.before AS second_free FROM f JOIN x ON x.query_id = f.query_id AND x.rank = f.rank + 1))))),
+kept AS (SELECT query_id, place, id, score, parts FROM f WHERE taken)"""
+
+
+def _pack_sql(grouping: str) -> str:
+    return f"""WITH RECURSIVE {_packed(grouping)} SELECT query_id, CAST(place AS INT) AS place, id, score, string_agg(text, chr(10) || chr(10) || '[adjacent context]' || chr(10) ORDER BY pos) AS content
+FROM (SELECT query_id, place, kept.id, score, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM kept) k JOIN (SELECT id AS part, text FROM e) USING (part) GROUP BY query_id, place, id, score"""
+
+
 _TOP20 = f"WITH {_STORE}, {_weighted(True)}, {_lexical(TOP)}"
 
 ORACLES = {
@@ -180,14 +234,10 @@ SELECT a.vec_id AS query_id, CAST(e.vec_id // 2 AS VARCHAR) AS id, max(round(gre
 FROM embeddings a JOIN embeddings e ON a.label = e.label WHERE a.vec_id % 50 = 0 GROUP BY ALL) QUALIFY rank <= {TOP}""",
     "segment_mean": """WITH p AS (SELECT vec_id // 4 AS message, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
 a AS (SELECT message, pos, avg(x) AS x FROM p GROUP BY ALL) SELECT message, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY message)), 9) AS value FROM a""",
-    "neighbours_radius1": f"""WITH m AS ({SQL_M}), n AS (SELECT id,
-count(CASE WHEN source_timestamp_ms IS NULL THEN 1 END) OVER (PARTITION BY user_id, session_id ORDER BY sequence, id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 0 AS by_time,
-lag(id) OVER a AS a0, lead(id) OVER a AS a1, lag(id) OVER t AS t0, lead(id) OVER t AS t1 FROM m
-WINDOW a AS (PARTITION BY user_id, session_id ORDER BY sequence, id), t AS (PARTITION BY user_id, session_id, source_timestamp_ms IS NULL ORDER BY source_timestamp_ms, sequence, id))
-SELECT id, CASE WHEN by_time THEN t0 ELSE a0 END AS before, CASE WHEN by_time THEN t1 ELSE a1 END AS after, by_time FROM n""",
-    "evidence_render": f"""WITH m AS ({SQL_M}) SELECT id, '[source ' || '{{' || concat_ws(',', CASE WHEN role IS NOT NULL THEN '"role":' || to_json(role)::VARCHAR END, '"session_id":' || to_json(session_id)::VARCHAR,
-'"request_id":' || to_json(request_id)::VARCHAR, '"message_index":' || message_index, '"message_id":' || to_json(id)::VARCHAR, '"received_sequence":' || sequence, '"timestamp_ms":' || source_timestamp_ms,
-'"timestamp_utc":"' || CASE WHEN source_timestamp_ms BETWEEN -62135596800000 AND 253402300799999 THEN strftime(make_timestamp(source_timestamp_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') END || 'Z"') || '}}]' || chr(10) || coalesce(content, '') AS evidence FROM m""",
+    "evidence_pack_reserved": _pack_sql("reserved"),
+    "evidence_pack_emitted": _pack_sql("emitted"),
+    "neighbours_radius1": f"WITH m AS ({SQL_M}) {_NEAR}",
+    "evidence_render": f"WITH m AS ({SQL_M}) SELECT id, {_EVIDENCE} AS evidence FROM m",
     "token_intervals": f"""WITH m AS ({SQL_M}) SELECT id, CAST(s AS INT) AS start, CAST(least(s + 128, doc_length) AS INT) AS "end"
 FROM (SELECT id, doc_length, unnest(range(0, CAST(greatest(0, ceil((doc_length - 128) / 96.0)) * 96 + 1 AS BIGINT), 96)) AS s FROM m WHERE doc_length > 0)""",
 }

@@ -58,7 +58,7 @@ def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = table(spark, d, "orders").withColumns({"o_totalprice": F.col("o_totalprice").cast("decimal(20,6)").cast("string"), "o_orderdate": F.unix_micros(F.col("o_orderdate").cast("timestamp"))})
     return grading.fingerprint(o, ["o_orderstatus"])
 
 
@@ -101,8 +101,8 @@ FROM (SELECT *, row_number() OVER w AS n, first_value(role) OVER w AS r1, first_
     "delivery_occurrence": "SELECT id, sequence, row_number() OVER (PARTITION BY id ORDER BY sequence) - 1 AS occurrence FROM messages",
     "orphan_statistics": "SELECT DISTINCT store_id, user_id FROM user_statistics s WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.store_id = s.store_id AND m.user_id = s.user_id)",
     "missing_vectors": f"WITH m AS ({SQL_M}) SELECT user_id, id FROM m WHERE id NOT IN (SELECT id FROM ({SQL_POSTED}))",
-    "table_fingerprint": """SELECT o_orderstatus, count(*) AS rows, CAST(sum(CAST(('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority
-|| '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 15)) AS HUGEINT)) AS VARCHAR) AS digest FROM orders GROUP BY o_orderstatus""",
+    "table_fingerprint": """SELECT o_orderstatus, count(*) AS rows, CAST(sum(CAST(('0x' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderdate":' || epoch_us(o_orderdate) || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority
+|| '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":"' || CAST(o_totalprice AS DECIMAL(20,6)) || '"}'), 1, 15)) AS HUGEINT)) AS VARCHAR) AS digest FROM orders GROUP BY o_orderstatus""",
     "redelivered_rows": f"WITH m AS ({SQL_M}) SELECT *, 'left' AS side FROM (SELECT id, role, content FROM messages EXCEPT ALL SELECT id, role, content FROM m)",
     "store_totals": "SELECT store_id, count(*) AS rows, count(DISTINCT id) AS messages, count(DISTINCT user_id) AS users, max(sequence) AS high_water FROM messages GROUP BY store_id",
     "duplicate_texts": r"""SELECT doc_id, copies FROM (SELECT doc_id, count(*) OVER (PARTITION BY source, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' '))) AS copies FROM documents WHERE text IS NOT NULL) WHERE copies > 1""",

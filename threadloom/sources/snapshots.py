@@ -1,13 +1,29 @@
-"""Versioned tables: a version is visible once its manifest is written, and readers see one version."""
+"""Versioned tables: a version is visible once its manifest is written, and readers see whole versions only.
+
+A version holds one Parquet folder per table. Tables can be replaced as a whole by each version (``read``) or grow by it
+(``read_all``: the union of all versions), so that an append writes its own rows only. Manifests are small JSON files
+with the version's tables, its name and its notes.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def manifests(spark: SparkSession, path: str) -> list[dict]:
+    """Manifests of the committed versions, oldest first: ``version, tables, name`` and the notes."""
+    numbers = versions(spark, path)
+    if not numbers:
+        return []
+    rows = spark.read.text([f"{path}/manifest/{n}" for n in numbers], wholetext=False).collect()  # one line a version
+    return sorted((json.loads(r["value"]) for r in rows), key=lambda m: m["version"])
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed versions, oldest first."""
+    """Numbers of the committed versions, oldest first."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(at):
@@ -16,13 +32,20 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n) for n in names if n.isdigit() and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/{n}/_SUCCESS")))
 
 
-def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> int:
-    """Writes all tables of the next version, then its manifest; a failure before that leaves the last version."""
+def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], name: str = "", partition_by: dict[str, str] | None = None, **notes) -> int:
+    """Writes all tables of the next version, then its manifest; a failure before that leaves the last version.
+
+    ``name`` tells what the version is (a migration or batch that may be run once only), ``partition_by`` the folder column of
+    a table; further arguments are kept as notes.
+    """
     version = (versions(spark, path) or [0])[-1] + 1
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/data/{version}/{name}")
-    names = spark.range(1).select(F.lit(version).alias("version"), F.array(*[F.lit(n) for n in sorted(tables)]).alias("tables"))
-    names.write.mode("overwrite").json(f"{path}/manifest/{version}")
+    for table, df in tables.items():
+        writer = df.write.mode("overwrite")
+        if partition_by and table in partition_by:
+            writer = writer.partitionBy(partition_by[table])
+        writer.parquet(f"{path}/data/{table}/version={version}")
+    line = json.dumps({"version": version, "tables": sorted(tables), "name": name} | notes)
+    spark.range(1, numPartitions=1).select(F.lit(line).alias("value")).write.mode("overwrite").text(f"{path}/manifest/{version}")
     return version
 
 
@@ -31,4 +54,13 @@ def read(spark: SparkSession, path: str, name: str, version: int | None = None)
     known = versions(spark, path)
     if not known or (version is not None and version not in known):
         raise ValueError(f"no version {version or ''} at {path}")
-    return spark.read.parquet(f"{path}/data/{version or known[-1]}/{name}")
+    return spark.read.parquet(f"{path}/data/{name}/version={version or known[-1]}")
+
+
+def read_all(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """The rows of a growing table in all committed versions; empty where there are none."""
+    held = [m["version"] for m in manifests(spark, path) if name in m["tables"]]
+    if not held:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", f"{path}/data/{name}").parquet(*[f"{path}/data/{name}/version={v}" for v in held])
+    return rows.drop("version")

@@ -6,29 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from threadloom.operators.store import ingest
+from threadloom.operators.memory import Memory
 
-REQUEST = "user_id string, request_id string, body string, arrival bigint"
+MESSAGE = "user_id string, session_id string, request_id string, message_index int, role string, content string, source_timestamp_ms bigint, arrival bigint"
 
 
-def follow_requests(requests: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Classifies each micro-batch against the stored requests and appends the new ones.
+def follow_requests(arrivals: DataFrame, memory: Memory, checkpoint: str) -> StreamingQuery:
+    """Adds each micro-batch of message rows to the store; a search started afterwards finds them.
 
-    A batch is written under its own number, so one that is run again after a failure replaces its rows and
-    never doubles them. Keys don't expire: what was stored once is compared with for good.
+    A batch is committed under its own number, so one that is run again after a failure adds nothing twice. Requests don't
+    expire: what was stored once is compared with for good, in the folders of the batch's users only. A request's
+    rows must arrive in one micro-batch.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = f"{REQUEST}, status string, sequence bigint, batch bigint"
-        at = spark._jvm.org.apache.hadoop.fs.Path(store)
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        old = spark.read.schema(schema).parquet(store).where((F.col("batch") != number) & (F.col("status") == "new")) if there else spark.createDataFrame([], schema)
-        high = old.agg(F.max("sequence")).first()[0] or 0
-        done = ingest(batch, old.select("user_id", "request_id", "body"), high)
-        done.select("user_id", "request_id", "body", "arrival", "status", "sequence").write.mode("overwrite").parquet(f"{store}/batch={number}")
-
-    return requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        memory.add(batch, name=f"batch {number}")
+
+    return arrivals.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_statistics(messages: DataFrame, delay: str = "30 days") -> DataFrame:
