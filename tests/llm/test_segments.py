@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -23,10 +24,10 @@ def check(text, tokens, size, overlap):
     return pieces
 
 
-alphabet = st.sampled_from(list("ab .!?\n\"é字符。，㎏ﬁ😀-"))
+alphabet = st.sampled_from(list("ab .!?\n\"é字符。，㎏ﬁ😀-㍿ｱ"))
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.text(alphabet, min_size=1, max_size=400), st.sampled_from([(8, math.inf), (math.inf, 24), (12, 40)]), st.integers(0, 5))
 def test_pieces_are_whole_and_under_the_limits(text, limits, overlap):
     check(text, *limits, overlap)
@@ -47,6 +48,25 @@ def test_cut_falls_between_topics():
     assert len(token_list(overlap)) == 6
 
 
+def test_valleys_rise_to_the_next_peaks():
+    rng = random.Random(3)
+    text = "".join(" ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 4))) + ".\n" for _ in range(120))
+    ends = [i + 1 for i, c in enumerate(text) if c == "\n"]
+    depths = S.valleys(text, ends)
+    assert len(depths) == len(ends) - 1 and min(depths.values()) >= 0 and max(depths.values()) > 0
+    flat = S.valleys("one line.\n" * 500, [10 * (i + 1) for i in range(500)])
+    assert max(flat.values()) < 1e-9
+
+
+def test_a_log_of_equal_lines_takes_linear_time():
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        assert len(S.cut("the same line again\n" * n, 384, math.inf, 64)) > n // 200
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.05)
+
+
 def test_operator(spark):
     long = "One sentence here. " * 200
     rows = [message(1, long), message(2, "short"), message(3, None), message(4, long + "late", key="id1"), message(5, "字" * 400), (None,) * 12]
@@ -59,5 +79,7 @@ def test_operator(spark):
         mine = sorted((r for r in got if (r.config_id, r.id) == ("b", key)), key=lambda r: r.piece)
         whole = "".join(text[max(r.start, e) : r.end] for r, e in zip(mine, [0, *[x.end for x in mine]]))
         assert whole == text and [r.piece for r in mine] == list(range(len(mine))) and all(r.text == text[r.start : r.end] for r in mine)
+    audit = {(r.config_id, r.id): (r.covered, r.within) for r in S.coverage(df, spark.createDataFrame(configs, CONFIG)).collect()}
+    assert audit == {("t", "id1"): (len(long), True), ("b", "id1"): (len(long), True), ("b", "id5"): (400, True)}
     assert S.pieces(df.limit(0), spark.createDataFrame(configs, CONFIG)).count() == 0
     assert S.pieces(df, spark.createDataFrame([], CONFIG)).count() == 0

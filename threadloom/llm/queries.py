@@ -44,6 +44,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("piece = 0").select("config_id", "id")
 
 
+def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return segments.coverage(table(spark, d, "messages"), table(spark, d, "embedding_config"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -60,7 +64,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations, p5_pieces, p5_found, p6_ids, p7_found, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations, p5_pieces, p5_found, p5_coverage, p6_ids, p7_found, p8_found, p8_report)}
 
 _NOBODY = "(" + ", ".join(f"'{x}'" for x in splits.PLACEHOLDERS) + ")"
 
@@ -100,6 +104,12 @@ bad AS (
   UNION SELECT user_id, session_id FROM f GROUP BY user_id, session_id HAVING count(*) FILTER (side = 'u' AND NOT blank) = 0 OR count(*) FILTER (side = 'a' AND NOT blank) = 0
   UNION SELECT user_id, session_id FROM t WHERE side = 'u' AND NOT coalesce(next_side = 'a' OR next_request = request_id, false))
 SELECT user_id, session_id FROM bad
+""",
+    "p5_coverage": """
+SELECT c.config_id, m.id, CAST(length(m.content) AS INT) AS covered, true AS within
+FROM (SELECT id, content, doc_length FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY sequence) = 1) m
+JOIN (SELECT DISTINCT * FROM embedding_config) c
+  ON m.content IS NOT NULL AND (m.doc_length > c.segment_tokens OR strlen(c.document_prefix) + strlen(m.content) > c.http_segment_bytes)
 """,
     "p5_found": """
 SELECT c.config_id, m.id

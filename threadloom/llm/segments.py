@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.functions.text import CJK_CLASS, token_list
 from threadloom.operators.delivery import first_delivery
@@ -34,6 +35,8 @@ LEAST_FILL = 0.5
 MOST_CONFIGS = 256
 
 _ATOM = re.compile(f"([{CJK_CLASS}])|[^\\W_{CJK_CLASS}]+")
+#: The same for texts that NFKC changes: a sign may become letters.
+_ATOM_OR_SIGN = re.compile(f"([{CJK_CLASS}])|[^\\W_{CJK_CLASS}]+|([^\\w\\s])")
 _SENTENCE_END = re.compile(r"(?:(?<![.!?…])[.!?…]++[\"'”’)\]]*+(?=\s|$)|[。！？；]+[”’」』）]*|\n+)\s*")
 
 
@@ -45,8 +48,13 @@ class _Text:
         self.starts, self.costs = [], [0]
         stable = text.isascii() or unicodedata.is_normalized("NFKC", text)
         total = 0
-        for m in _ATOM.finditer(text):
-            total += 2 if m.lastindex else 1 if stable else max(1, len(token_list(m.group())))
+        for m in (_ATOM if stable else _ATOM_OR_SIGN).finditer(text):
+            if m.lastindex == 2:  # letters under NFKC; one more, as they may pair with what is next to them
+                if not (cost := len(token_list(m.group()))):
+                    continue
+                total += cost + 1
+            else:
+                total += 2 if m.lastindex else 1 if stable else max(1, len(token_list(m.group())))
             self.starts.append(m.start())
             self.costs.append(total)
         ends = [m.end() for m in _SENTENCE_END.finditer(text)]
@@ -115,17 +123,15 @@ def valleys(text: str, ends: list[int]) -> dict[int, float]:
         dot = sum([c * right[w] for w, c in left.items() if w in right])
         norm = math.sqrt(sum([c * c for c in left.values()]) * sum([c * c for c in right.values()]))
         scores.append(dot / norm if norm else 0.0)
-    depths = {}
-    for i, s in enumerate(scores):
-        peaks = []
-        for step in (-1, 1):
-            j, peak = i, s
-            while 0 <= j + step < len(scores) and scores[j + step] >= peak:
-                j += step
-                peak = scores[j]
-            peaks.append(peak)
-        depths[ends[i]] = peaks[0] + peaks[1] - 2 * s
-    return depths
+    # the highest point of the slope that climbs away from each boundary, by one pass in each direction
+    left, right = list(scores), list(scores)
+    for i in range(1, len(scores)):
+        if scores[i - 1] >= scores[i]:
+            left[i] = left[i - 1]
+    for i in range(len(scores) - 2, -1, -1):
+        if scores[i + 1] >= scores[i]:
+            right[i] = right[i + 1]
+    return {ends[i]: a + b - 2 * s for i, (a, b, s) in enumerate(zip(left, right, scores))}
 
 
 def cut(text: str | _Text, most_tokens: float, most_bytes: float, overlap: int) -> list[tuple[int, int]]:
@@ -160,7 +166,7 @@ def cut(text: str | _Text, most_tokens: float, most_bytes: float, overlap: int)
         pieces.append((start, end))
         done = end
         start = t.back(start, end, overlap)
-        while start < end and not (t.tokens(start, end) <= most_tokens * 2 / 3 and t.size(start, end) <= most_bytes * 2 / 3):
+        while start < end and not (t.tokens(start, end) <= most_tokens * 2 / 3 and t.size(start, end) <= most_bytes * 2 / 3 and t.fits(start, end + 1, most_tokens, most_bytes)):
             start = next((s for s in t.starts[bisect_right(t.starts, start) :] if s > start), end)
             start = min(start, end)
 
@@ -197,27 +203,28 @@ def pieces(messages: DataFrame, configs: DataFrame) -> DataFrame:
     its row of the smallest sequence; null ids are messages of their own; a null config_id is left out; equal
     configuration rows are one. A limit that leaves no room for one character raises an error.
     """
-    rows = configs.where("config_id IS NOT NULL").select("config_id", "segment_tokens", "overlap_tokens", "http_segment_bytes", "document_prefix").distinct().limit(MOST_CONFIGS + 1).collect()
-    if len(rows) > MOST_CONFIGS:
+    limits = configs.where("config_id IS NOT NULL").select("config_id", F.col("segment_tokens").cast("int").alias("most_tokens"), F.octet_length(F.coalesce("document_prefix", F.lit(""))).alias("prefix_bytes"), F.col("http_segment_bytes").cast("int").alias("most_bytes"), F.col("overlap_tokens").cast("int").alias("overlap")).distinct()
+    if limits.limit(MOST_CONFIGS + 1).count() > MOST_CONFIGS:
         raise ValueError(f"more than {MOST_CONFIGS} configurations")
-    number = lambda v, kind: F.lit(v).cast(kind)
-    known = [
-        F.struct(
-            F.lit(r["config_id"]).alias("config_id"),
-            number(r["segment_tokens"], "int").alias("most_tokens"),
-            number(len((r["document_prefix"] or "").encode()), "int").alias("prefix_bytes"),
-            number(r["http_segment_bytes"], "int").alias("most_bytes"),
-            number(r["overlap_tokens"], "int").alias("overlap"),
-        )
-        for r in rows
-    ]
-    kind = "array<struct<config_id: string, most_tokens: int, prefix_bytes: int, most_bytes: int, overlap: int>>"
+    # all of them as one value (a scalar subquery), so nothing is multiplied before it is known to be over a limit
+    every = limits.agg(F.sort_array(F.collect_list(F.struct("config_id", "most_tokens", "prefix_bytes", "most_bytes", "overlap")))).scalar()
     over = F.filter(
-        F.array(*known).cast(kind),
+        "limits__",
         lambda c: F.coalesce(F.col("doc_length") > c["most_tokens"], F.lit(False)) | F.coalesce(c["prefix_bytes"] + F.octet_length("content") > c["most_bytes"], F.lit(False)),
     )
     # contents that exceed nothing are dropped before the shuffle that finds the row that counts
-    slim = messages.withColumn("over", F.when(F.col("content").isNotNull(), over)).select("id", "sequence", F.when(F.size("over") > 0, F.col("content")).alias("content"), F.when(F.size("over") > 0, F.col("over")).alias("over"))
+    slim = messages.select("id", "sequence", "content", "doc_length").withColumn("limits__", every).withColumn("over", F.when(F.col("content").isNotNull(), over)).select("id", "sequence", F.when(F.size("over") > 0, F.col("content")).alias("content"), F.when(F.size("over") > 0, F.col("over")).alias("over"))
     first = first_delivery(slim, ["over", "content"]).where("over IS NOT NULL")
     work = first.select("id", "content", F.explode("over").alias("c")).select("id", "content", "c.*")
     return work.mapInPandas(_pieces, "config_id string, id string, piece int, start int, end int, tokens int, bytes int, text string")
+
+
+def coverage(messages: DataFrame, configs: DataFrame) -> DataFrame:
+    """Audit of ``pieces``: ``config_id, id, covered, within`` - characters that the pieces cover in order without a gap,
+    and whether every piece is under both limits."""
+    cut = pieces(messages, configs)
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("config_id", "id").orderBy("piece")), F.lit(0))
+    limits = configs.where("config_id IS NOT NULL").select("config_id", "segment_tokens", "http_segment_bytes").distinct()
+    joined = cut.withColumn("new", F.when(F.col("start") <= before, F.col("end") - before)).join(limits, "config_id")
+    under = (F.col("tokens") <= F.coalesce("segment_tokens", "tokens")) & (F.col("bytes") <= F.coalesce("http_segment_bytes", "bytes"))
+    return joined.groupBy("config_id", "id").agg(F.sum("new").cast("int").alias("covered"), F.min(under).alias("within"))
