@@ -217,7 +217,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     candidates = hits.join(prefix, "shingle").select("doc_id", "probe").distinct()
     # shingles of a candidate at nearly one offset; bands overlap, so that some band has all of them
     width = F.greatest(F.lit(4), F.floor(F.col("n") / 4)).cast("int")
-    placed = hits.join(parts, "shingle").join(candidates, ["doc_id", "probe"], "left_semi")
+    # candidates first: a frequent shingle then meets the probes of its documents only, not all probes that have it
+    placed = hits.join(candidates, "doc_id").join(parts, ["probe", "shingle"])
     band = F.floor((F.col("pos") - F.col("at")) / width)
     counted = placed.select("doc_id", "probe", "least", "at", F.explode(F.array(band, band + 1)).alias("band")).groupBy("doc_id", "probe", "band").agg(F.count_distinct("at").alias("shared"), F.first("least").alias("least"))
     likely = counted.where("shared >= least").select("doc_id", "probe").distinct()
