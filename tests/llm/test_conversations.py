@@ -76,11 +76,46 @@ def test_against_brute_force(spark, tmp_path):
         assert (r.reason or [tuple(t) for t in r.turns]) == want, (key, want, r)
 
 
-def test_late_rows_and_small_batches_change_nothing(spark, tmp_path):
+def test_late_rows_change_nothing(spark, tmp_path):
     rows = [message(i, f"t{i}", ("user", "assistant")[i % 2], session=f"s{i // 4}", request=f"r{i // 4}", index=i % 4) for i in range(40)]
     late = [r[:10] + (r[10] + 86_400_000 * (i % 9) * 40, r[11]) for i, r in enumerate(rows)]
-    got = replayed(spark, tmp_path, late, files_per_batch=1)
-    assert len(got) == 10 and all(r.reason is None for r in got.values())
+    for options in ({}, {"gap": "1 hour", "slices": 3}, {"gap": "30 days", "delay": "1 second", "slices": 5}):
+        got = replayed(spark, tmp_path, late, **options)
+        assert len(got) == 10 and all(r.reason is None and len(r.turns) == 4 for r in got.values())
+        assert any(r.parts > 1 for r in got.values())
+
+
+def test_the_stream_closes_by_silence_and_gives_up_late_rows(spark, tmp_path):
+    minute = 60_000
+    at = lambda seq, session, t, role, i: message(seq, f"m{seq}", role, session=session, request=f"r-{session}-{seq - i}", index=i)[:10] + (1_700_000_000_000 + t * minute, 2)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows: spark.createDataFrame(rows, MESSAGE).coalesce(1).write.mode("append").parquet(source)
+    put([at(1, "a", 0, "user", 0), at(2, "a", 1, "assistant", 1), at(3, "b", 1, "user", 0)])
+    stream = C.conversation_stream(spark.readStream.schema(MESSAGE).parquet(source), "10 minutes", "5 minutes")
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        seen = lambda: sorted(((r.session_id, r.reason, len(r.turns)) for r in spark.read.schema(stream.schema).parquet(out).collect()), key=str)
+        query.processAllAvailable()
+        assert seen() == []  # nothing has been silent for long enough
+        put([at(4, "b", 9, "assistant", 1), at(5, "c", 17, "user", 0), at(6, "c", 17, "assistant", 1)])
+        query.processAllAvailable()
+        assert seen() == [("a", None, 2)]  # b went on at minute 9
+        put([at(7, "a", 2, "user", 0), at(8, "c", 30, "user", 0)])  # a's row is behind the watermark
+        query.processAllAvailable()
+        assert seen() == [("a", None, 2), ("b", None, 2)]
+        dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+        assert dropped == 1
+        put([at(9, "d", 90, "user", 0)])
+        query.processAllAvailable()
+        assert [x for x in seen() if x[0] == "c"] == [("c", "one_sided", 1), ("c", None, 2)]  # silent for 13 minutes: two parts
+    finally:
+        query.stop()
+
+
+def test_a_long_session_of_many_requests(spark, tmp_path):
+    rows = [message(2 * i + j, "t", ("user", "assistant")[j], request=f"r{i:06}", index=j) for i in range(4000) for j in (0, 1)]
+    got = replayed(spark, tmp_path, rows)
+    assert got[("u", "s")].reason is None and len(got[("u", "s")].turns) == 8000
 
 
 def test_nulls_and_empty(spark, tmp_path):

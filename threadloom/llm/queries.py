@@ -36,6 +36,12 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.replay(spark, f"{d}/messages.parquet").where("reason IS NULL").select("user_id", "session_id", "turns")
 
 
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations by verdict, and how many of them went on after a silence that had closed them."""
+    judged = conversations.replay(spark, f"{d}/messages.parquet", contents=False)
+    return judged.groupBy((F.col("reason").isNotNull()).alias("dropped")).agg(F.count(F.lit(1)).alias("conversations"), F.count(F.when(F.col("parts") > 1, 1)).alias("reopened"))
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return segments.pieces(table(spark, d, "messages"), table(spark, d, "embedding_config"))
 
@@ -64,7 +70,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations, p5_pieces, p5_found, p5_coverage, p6_ids, p7_found, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations, p4_report, p5_pieces, p5_found, p5_coverage, p6_ids, p7_found, p8_found, p8_report)}
 
 _NOBODY = "(" + ", ".join(f"'{x}'" for x in splits.PLACEHOLDERS) + ")"
 
@@ -80,18 +86,7 @@ def _listed(roles: tuple[str, ...]) -> str:
 _ROLE = r"lower(regexp_replace(role, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
 _SIDE = f"CASE WHEN {_ROLE} IN {_listed(conversations.USER_SIDE)} THEN 'u' WHEN {_ROLE} IN {_listed(conversations.ASSISTANT_SIDE)} THEN 'a' WHEN {_ROLE} IN {_listed(conversations.OTHER_SIDE)} THEN 's' END"
 
-ORACLES: dict[str, str] = {
-    "p2_found": f"""
-WITH RECURSIVE edges AS (SELECT DISTINCT sample_id AS a, 'u' || {_known("user_id")} AS b FROM histories WHERE {_known("user_id")} IS NOT NULL
-  UNION SELECT DISTINCT sample_id, 'c' || {_known("conversation_id")} FROM histories WHERE {_known("conversation_id")} IS NOT NULL),
-star AS (SELECT a, min(a) OVER (PARTITION BY b) AS m FROM edges),
-links AS (SELECT a, m FROM star WHERE a <> m UNION SELECT m, a FROM star WHERE a <> m),
-reach AS (SELECT DISTINCT sample_id AS a, sample_id AS r FROM histories UNION SELECT links.a, reach.r FROM reach JOIN links ON links.m = reach.a),
-labels AS (SELECT a AS sample_id, min(r) AS component FROM reach GROUP BY a)
-SELECT sample_id FROM labels WHERE component IN (SELECT component FROM labels JOIN histories USING (sample_id) GROUP BY component HAVING count(DISTINCT original_split) > 1)
-""",
-    "p4_found": f"""
-WITH r AS (SELECT user_id, session_id, request_id, id, message_index AS place, sequence, source_timestamp_ms AS ts, content, {_SIDE} AS side,
+_BAD = f"""WITH r AS (SELECT user_id, session_id, request_id, id, message_index AS place, sequence, source_timestamp_ms AS ts, content, {_SIDE} AS side,
   regexp_replace(coalesce(content, ''), '[\\s\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]', '', 'g') = '' AS blank FROM messages),
 f AS (SELECT *, min(ts) OVER q AS rts, min(sequence) OVER q AS rseq, count(*) OVER q AS rn, count(*) FILTER (ts IS NULL) OVER (PARTITION BY user_id, session_id) = 0 AS dated
   FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id, session_id, id ORDER BY sequence) = 1) WINDOW q AS (PARTITION BY user_id, session_id, request_id)),
@@ -102,9 +97,22 @@ bad AS (
   UNION SELECT user_id, session_id FROM f GROUP BY user_id, session_id, request_id HAVING min(place) <> 0 OR max(place) <> count(*) - 1 OR count(DISTINCT place) <> count(*)
   UNION SELECT user_id, session_id FROM f WHERE side IS NULL
   UNION SELECT user_id, session_id FROM f GROUP BY user_id, session_id HAVING count(*) FILTER (side = 'u' AND NOT blank) = 0 OR count(*) FILTER (side = 'a' AND NOT blank) = 0
-  UNION SELECT user_id, session_id FROM t WHERE side = 'u' AND NOT coalesce(next_side = 'a' OR next_request = request_id, false))
-SELECT user_id, session_id FROM bad
+  UNION SELECT user_id, session_id FROM t WHERE side = 'u' AND NOT coalesce(next_side = 'a' OR next_request = request_id, false))"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"""
+WITH RECURSIVE edges AS (SELECT DISTINCT sample_id AS a, 'u' || {_known("user_id")} AS b FROM histories WHERE {_known("user_id")} IS NOT NULL
+  UNION SELECT DISTINCT sample_id, 'c' || {_known("conversation_id")} FROM histories WHERE {_known("conversation_id")} IS NOT NULL),
+star AS (SELECT a, min(a) OVER (PARTITION BY b) AS m FROM edges),
+links AS (SELECT a, m FROM star WHERE a <> m UNION SELECT m, a FROM star WHERE a <> m),
+reach AS (SELECT DISTINCT sample_id AS a, sample_id AS r FROM histories UNION SELECT links.a, reach.r FROM reach JOIN links ON links.m = reach.a),
+labels AS (SELECT a AS sample_id, min(r) AS component FROM reach GROUP BY a)
+SELECT sample_id FROM labels WHERE component IN (SELECT component FROM labels JOIN histories USING (sample_id) GROUP BY component HAVING count(DISTINCT original_split) > 1)
 """,
+    "p4_found": f"{_BAD} SELECT user_id, session_id FROM bad",
+    "p4_report": f"""{_BAD}, g AS (SELECT user_id, session_id, ingested_at_ms - lag(ingested_at_ms) OVER (PARTITION BY user_id, session_id ORDER BY ingested_at_ms) AS silence FROM messages),
+c AS (SELECT user_id, session_id, max(coalesce(silence, 0)) >= 172800000 AS reopened FROM g GROUP BY user_id, session_id)
+SELECT bad.user_id IS NOT NULL AS dropped, count(*) AS conversations, count(CASE WHEN c.reopened THEN 1 END) AS reopened FROM c LEFT JOIN bad USING (user_id, session_id) GROUP BY ALL""",
     "p5_coverage": """
 SELECT c.config_id, m.id, CAST(length(m.content) AS INT) AS covered, true AS within
 FROM (SELECT id, content, doc_length FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY sequence) = 1) m
