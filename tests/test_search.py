@@ -172,6 +172,11 @@ def test_ranks_and_budgets(spark):
     got = {r.g: r.split for r in ranks.split_by_rank(groups, F.sha2("g", 256)).collect()}
     again = {r.g: r.split for r in ranks.split_by_rank(groups.orderBy(F.desc("g")), F.sha2("g", 256)).collect()}
     assert got == again and Counter(got.values()) == {"dev": 6, "validation": 2, "heldout": 2}
+    sized = spark.createDataFrame([(f"g{i}", i % 3, i + 1) for i in range(30)], "g string, kind int, size int")
+    summed = sorted(ranks.running_by_digest(sized, F.sha2("g", 256), "size", "kind").select("kind", F.sha2("g", 256).alias("d"), "size", "before").collect())
+    for kind in range(3):
+        mine = [r for r in summed if r.kind == kind]
+        assert [r.before for r in mine] == [sum(x["size"] for x in mine[:i]) for i in range(10)]
     ranked = spark.createDataFrame([("q", 1, 5), ("q", 2, 9), ("q", 3, 1)], "q string, rank int, size int")
     assert [r.rank for r in ranks.within_budget(ranked, ["q"], "rank", F.col("size"), 13).collect()] == [1]
     assert ranks.within_budget(ranked, ["q"], "rank", F.col("size"), 0).count() == 3

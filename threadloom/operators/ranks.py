@@ -23,6 +23,19 @@ def rank_by_digest(df: DataFrame, digest: Column, out: str = "place") -> DataFra
     return marked.withColumn("inside__", inside).join(F.broadcast(before), "bucket__").withColumn(out, F.col("inside__") + F.col("offset__")).drop("digest__", "bucket__", "inside__", "offset__")
 
 
+def running_by_digest(df: DataFrame, digest: Column, weight: str, group: str, out: str = "before") -> DataFrame:
+    """Adds the summed ``weight`` of the rows of the same ``group`` that come before a row in the order of a hexadecimal digest.
+
+    The offset of a bucket of leading digits is the sum of the buckets before it, so no group is sorted as a whole.
+    """
+    marked = df.withColumn("digest__", digest).withColumn("bucket__", F.substring("digest__", 1, DIGITS))
+    sums = marked.groupBy(group, "bucket__").agg(F.sum(weight).alias("n__"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("offset__", F.coalesce(F.sum("n__").over(earlier(Window.partitionBy(group).orderBy("bucket__"))), F.lit(0))).drop("n__")
+    inside = F.coalesce(F.sum(weight).over(earlier(Window.partitionBy(group, "bucket__").orderBy("digest__"))), F.lit(0))
+    return marked.withColumn("inside__", inside).join(offsets, [group, "bucket__"]).withColumn(out, F.col("inside__") + F.col("offset__")).drop("digest__", "bucket__", "inside__", "offset__")
+
+
 def split_by_rank(groups: DataFrame, digest: Column, first: float = 0.6, second: float = 0.2) -> DataFrame:
     """Adds ``split``: the first, second and remaining share of groups by digest rank.
 
