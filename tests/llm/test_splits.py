@@ -74,6 +74,41 @@ def test_a_hub_and_proportions(spark):
     assert 740 < n["train"] < 860 and 50 < n["validation"] < 150
 
 
+def test_stored_table_over_batches(spark, tmp_path):
+    share = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    stored = splits.ComponentTable(spark, str(tmp_path / "table"))
+    assert stored.read().count() == 0
+    triples = [(f"s{i}", f"u{i // 3}", None) for i in range(300)]
+    stored.add(rows(spark, triples[:150]), share, "one")
+    before = {r.sample_id: r.split for r in splits.record_splits(stored.read()).collect()}
+    stored.add(rows(spark, triples[150:] + [("late", "u1", None)]), share, "two")
+    stored.add(rows(spark, [("never", "u1", None)]), share, "two")
+    again = splits.ComponentTable(spark, str(tmp_path / "table")).read()
+    after = {r.sample_id: r.split for r in splits.record_splits(again).collect()}
+    assert len(after) == 301 and "never" not in after and after["late"] == after["s3"]
+    assert all(after[s] == before[s] for s in before)
+    for i in range(100):
+        assert len({after[f"s{3 * i + k}"] for k in range(3)}) == 1
+    n = defaultdict(int)
+    for v in after.values():
+        n[v] += 1
+    assert abs(n["train"] - 241) <= 4 and abs(n["validation"] - 30) <= 4 and abs(n["test"] - 30) <= 4
+
+
+def test_shares_hold_with_components_of_all_sizes(spark):
+    rng = random.Random(2)
+    triples, at = [], 0
+    for u, size in enumerate([120, 90, 60, 33, 30, 20] + [rng.randrange(1, 9) for _ in range(150)]):
+        triples += [(f"s{at + i}", f"u{u}", None) for i in range(size)]
+        at += size
+    share = {"train": 0.6, "validation": 0.2, "test": 0.2}
+    got = splits.record_splits(splits.assign_splits(rows(spark, triples), share)).collect()
+    n = defaultdict(int)
+    for r in got:
+        n[r.split] += 1
+    assert all(abs(n[s] - p * len(got)) <= 0.03 * len(got) for s, p in share.items()), dict(n)
+
+
 def test_conflicts_nulls_repeats_clashes(spark):
     triples = [("a", "x", None), ("b", "x", None), ("c", None, "k"), ("c", None, "k"), ("d", "unknown", None), ("e", "Unknown ", None), (None, "x", "k"), ("f", "X", None)]
     where = {"a": "dev", "b": "heldout", "c": "dev", "d": "dev", "e": "heldout", "f": "validation"}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import bpe, conversations, leakage, overlap, segments, splits, truncation
+from threadloom.session import scratch_path
 from threadloom.sources.tables import table
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -24,10 +25,36 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_conflicts(table(spark, d, "histories"))
 
 
+def _split_in_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The stored component table after two batches, halves of the histories by a digest of the sample."""
+    h = table(spark, d, "histories")
+    stored = splits.ComponentTable(spark, scratch_path(spark, "split-table"))
+    half = F.conv(F.substring(F.md5("sample_id"), 1, 4), 16, 10).cast("int") % 2
+    stored.add(h.where(half == 0), PROPORTIONS, "first")
+    return stored.add(h.where(half == 1), PROPORTIONS, "second")
+
+
 def p2_assigned(spark: SparkSession, d: str) -> DataFrame:
     return splits.record_splits(splits.assign_splits(table(spark, d, "histories"), PROPORTIONS))
 
 
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    return splits.record_splits(_split_in_batches(spark, d))
+
+
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Of p2_assigned: samples, components, components in several splits, and whether each split has its share of records.
+
+    A share is right where it is off by no more than the largest component and a hundredth of all.
+    """
+    r = p2_assigned(spark, d)
+    parts = r.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits"))
+    whole = parts.agg(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("components"), F.count(F.when(F.col("splits") != 1, 1)).alias("torn"), F.max("n").alias("largest"))
+    shares = r.agg(*[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in PROPORTIONS]).first()  # one row
+    off = F.greatest(*[F.abs(F.lit(shares[s]) - share * F.col("samples")) for s, share in PROPORTIONS.items()])
+    return whole.select("samples", "components", "torn", (off <= F.col("largest") + F.col("samples") / 100).alias("in_proportion"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.replay(spark, f"{d}/messages.parquet", contents=False).where("reason IS NOT NULL").select("user_id", "session_id")
 
@@ -70,7 +97,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p4_found, p4_conversations, p4_report, p5_pieces, p5_found, p5_coverage, p6_ids, p7_found, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p2_batches, p2_audit, p4_found, p4_conversations, p4_report, p5_pieces, p5_found, p5_coverage, p6_ids, p7_found, p8_found, p8_report)}
 
 _NOBODY = "(" + ", ".join(f"'{x}'" for x in splits.PLACEHOLDERS) + ")"
 
@@ -99,16 +126,16 @@ bad AS (
   UNION SELECT user_id, session_id FROM f GROUP BY user_id, session_id HAVING count(*) FILTER (side = 'u' AND NOT blank) = 0 OR count(*) FILTER (side = 'a' AND NOT blank) = 0
   UNION SELECT user_id, session_id FROM t WHERE side = 'u' AND NOT coalesce(next_side = 'a' OR next_request = request_id, false))"""
 
-ORACLES: dict[str, str] = {
-    "p2_found": f"""
-WITH RECURSIVE edges AS (SELECT DISTINCT sample_id AS a, 'u' || {_known("user_id")} AS b FROM histories WHERE {_known("user_id")} IS NOT NULL
+_LABELS = f"""WITH RECURSIVE edges AS (SELECT DISTINCT sample_id AS a, 'u' || {_known("user_id")} AS b FROM histories WHERE {_known("user_id")} IS NOT NULL
   UNION SELECT DISTINCT sample_id, 'c' || {_known("conversation_id")} FROM histories WHERE {_known("conversation_id")} IS NOT NULL),
 star AS (SELECT a, min(a) OVER (PARTITION BY b) AS m FROM edges),
 links AS (SELECT a, m FROM star WHERE a <> m UNION SELECT m, a FROM star WHERE a <> m),
 reach AS (SELECT DISTINCT sample_id AS a, sample_id AS r FROM histories UNION SELECT links.a, reach.r FROM reach JOIN links ON links.m = reach.a),
-labels AS (SELECT a AS sample_id, min(r) AS component FROM reach GROUP BY a)
-SELECT sample_id FROM labels WHERE component IN (SELECT component FROM labels JOIN histories USING (sample_id) GROUP BY component HAVING count(DISTINCT original_split) > 1)
-""",
+labels AS (SELECT a AS sample_id, min(r) AS component FROM reach GROUP BY a)"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"{_LABELS} SELECT sample_id FROM labels WHERE component IN (SELECT component FROM labels JOIN histories USING (sample_id) GROUP BY component HAVING count(DISTINCT original_split) > 1)",
+    "p2_audit": f"{_LABELS} SELECT count(*) AS samples, count(DISTINCT component) AS components, 0::BIGINT AS torn, true AS in_proportion FROM labels",
     "p4_found": f"{_BAD} SELECT user_id, session_id FROM bad",
     "p4_report": f"""{_BAD}, g AS (SELECT user_id, session_id, ingested_at_ms - lag(ingested_at_ms) OVER (PARTITION BY user_id, session_id ORDER BY ingested_at_ms) AS silence FROM messages),
 c AS (SELECT user_id, session_id, max(coalesce(silence, 0)) >= 172800000 AS reopened FROM g GROUP BY user_id, session_id)

@@ -8,7 +8,9 @@ components fill what the splits lack.
 Scale: links are two-column rows, reduced to one row per identity and sample before the first shuffle. A hub
 (one author of a third of all samples) is only ever the target of a map-side combined ``min``; every join has
 at most one row per key on one side, so a hot key costs rows, never pairs. Each round contracts the graph, and
-rounds grow with the logarithm of its size. Versions and rounds are written to the shared folder.
+rounds grow with the logarithm of its size. New components are placed by one rule for all sizes: from the largest
+class of sizes down, each class in digest order along the deficits, by running sums that sort no class as a whole.
+The table lies in versions of a stored folder (``ComponentTable``); rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.components import merge_roots
+from threadloom.operators.ranks import running_by_digest
 from threadloom.session import write_table
+from threadloom.sources import snapshots
 
 #: Ids that stand for "not known", compared without case and outer blanks (fixed values).
 PLACEHOLDERS = ("", "-", "--", "0", "?", "n/a", "na", "nan", "nil", "none", "null", "unknown", "undefined", "anonymous")
 
-#: Components above this share of all records are placed one by one; there are at most 1 / LARGE of them.
-LARGE = 0.001
-
 _BLANK = r"[\s\p{Z}\p{Cf}\p{Cc}]+"
 
 
@@ -80,37 +81,59 @@ def update_components(table: DataFrame, records: DataFrame, key: str = "sample_i
 
 
 def fill_splits(table: DataFrame, proportions: dict[str, float]) -> DataFrame:
-    """Gives every component without a split the one that lacks most, and writes the next version.
+    """Gives every component without a split one that lacks records, and writes the next version.
 
-    Components above ``LARGE`` of all records (so at most 1 / LARGE) go one by one, largest first, to the
-    split that lacks most; the rest draw by a hash of the component among what then is lacking, so one pass
-    without any global order serves any number of components. Quarantined components stay without split.
+    Components are taken by size class (powers of two), the largest first. Those of a class stand in digest order, each over
+    as long a piece of a line as it has records; the line is divided among the splits as they lack records then, and a
+    component goes where the middle of its piece lies. What a class really took is counted before the next, so what
+    large components leave uneven is evened out by smaller ones. Quarantined components stay without split.
     """
     names = list(proportions)
     records = table.where(F.col("node").startswith("s:"))
     sizes = records.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.first("split", ignorenulls=True).alias("split"), F.max("quarantined").alias("quarantined"))
-    sizes = write_table(sizes, "sizes")
+    sizes = write_table(sizes.withColumn("kind", F.floor(F.log2("size")).cast("int")), "sizes")
     held = {r["split"]: r["n"] for r in sizes.where("NOT quarantined").groupBy("split").agg(F.sum("size").alias("n")).collect()}
     total = sum(held.values())
     lack = {s: proportions[s] * total - held.get(s, 0) for s in names}
-    free = sizes.where("split IS NULL AND NOT quarantined")
-    large = free.where(F.col("size") > LARGE * max(total, 1)).orderBy(F.desc("size"), "component").collect()
-    placed = {}
-    for row in large:
-        placed[row["component"]] = best = max(names, key=lambda s: lack[s])
-        lack[best] -= row["size"]
-    lack = {s: max(v, 0.0) for s, v in lack.items()}
-    weight = sum(lack.values()) or 1.0
-    draw = F.pmod(F.xxhash64("component"), F.lit(2**40)) / F.lit(float(2**40))
-    choice, reached = F.lit(max(names, key=lambda s: lack[s])), 1.0
-    for s in reversed(names):
-        reached -= lack[s] / weight
-        if lack[s] > 0:
-            choice = F.when(draw < reached + lack[s] / weight, F.lit(s)).otherwise(choice)
-    spark = table.sparkSession
-    ones = spark.createDataFrame(list(placed.items()), "component string, placed string")
-    chosen = free.join(F.broadcast(ones), "component", "left").select("component", F.coalesce("placed", choice).alias("chosen"))
-    return write_table(table.join(chosen, "component", "left").select("node", "component", F.coalesce("split", "chosen").alias("split"), "quarantined"), "components")
+    free = running_by_digest(sizes.where("split IS NULL AND NOT quarantined"), F.sha2("component", 256), "size", "kind")
+    free = write_table(free.withColumn("middle", F.col("before") + F.col("size") / 2), "free")
+    kinds = free.groupBy("kind").agg(F.sum("size").alias("n")).orderBy(F.desc("kind")).collect()  # one row per power of two
+    chosen = None
+    for row in kinds:
+        open_ = {s: max(v, 0.0) for s, v in lack.items()}
+        weight = sum(open_.values())
+        if not weight:
+            open_, weight = dict(proportions), sum(proportions.values())
+        choice, reached = None, 0.0
+        for s in names:
+            reached += open_[s] / weight * row["n"]
+            if open_[s] > 0:
+                choice = F.when(F.col("middle") < reached, F.lit(s)) if choice is None else choice.when(F.col("middle") < reached, F.lit(s))
+        last = next(s for s in reversed(names) if open_[s] > 0)
+        mine = free.where(F.col("kind") == row["kind"]).select("component", "size", choice.otherwise(F.lit(last)).alias("chosen"))
+        for r in mine.groupBy("chosen").agg(F.sum("size").alias("n")).collect():
+            lack[r["chosen"]] -= r["n"]
+        chosen = mine if chosen is None else chosen.unionByName(mine)
+    if chosen is None:
+        return table
+    return write_table(table.join(chosen.drop("size"), "component", "left").select("node", "component", F.coalesce("split", "chosen").alias("split"), "quarantined"), "components")
+
+
+class ComponentTable:
+    """The persisted component table at ``path``, a folder that all executors share: one version per batch."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        """The table as it is now."""
+        return snapshots.read(self.spark, self.path, "components") if snapshots.versions(self.spark, self.path) else empty_table(self.spark)
+
+    def add(self, records: DataFrame, proportions: dict[str, float], name: str = "", key: str = "sample_id", identities: tuple[str, ...] = ("user_id", "conversation_id")) -> DataFrame:
+        """Takes in a batch and commits the next version; a batch of a ``name`` that is there already changes nothing."""
+        if not (name and any(m["name"] == name for m in snapshots.manifests(self.spark, self.path))):
+            snapshots.commit(self.spark, self.path, {"components": assign_splits(records, proportions, self.read(), key, identities)}, name)
+        return self.read()
 
 
 def record_splits(table: DataFrame, key: str = "sample_id") -> DataFrame:
