@@ -15,9 +15,12 @@ from __future__ import annotations
 import base64
 import heapq
 import math
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary cuts a text into words (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a block of documents; a larger document is a block by itself.
-BLOCK_CHARACTERS = 4_000_000
+#: Bytes of a block of documents on average; a larger document is in one block all the same.
+BLOCK_BYTES = 1_000_000
 #: Distinct words that are merged at a time inside a task.
 WORDS_AT_ONCE = 200_000
 
@@ -101,31 +104,47 @@ class Replay:
 
 
 _SPLIT = regex.compile(PATTERN)
+#: The same on texts of ASCII only, where the letters and digits are these.
+_SPLIT_ASCII = re.compile(PATTERN.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace("?a-zA-Z+", "?[a-zA-Z]+").replace("?0-9+", "?[0-9]+"), re.ASCII)
 
 
-def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def split(text: str) -> list[str]:
+    """The words of a text, each of which is merged by itself; together they are the text."""
+    return _SPLIT_ASCII.findall(text) if text.isascii() else _SPLIT.findall(text)
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words per block; a word may come again in a later batch of rows."""
     for batch in batches:
         words: dict[int, set[str]] = {}
-        for block, text in zip(batch["block"], batch["text"]):
-            words.setdefault(block, set()).update(_SPLIT.findall(text))
-        yield pd.DataFrame([(block, w) for block, ws in words.items() for w in ws], columns=["block", "word"])
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
+            words.setdefault(block, set()).update(split(text))
+        blocks = np.repeat(np.fromiter(words, np.int64, len(words)), [len(ws) for ws in words.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([w for ws in words.values() for w in ws], pa.string())], ["block", "word"])
+
+
+def _lists(rows: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))))
 
 
 def _merge(ranks):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = Replay(ranks.value)
         held: dict[str, list[int]] = {}
 
-        def flush() -> pd.DataFrame:
-            frame = pd.DataFrame([(block, word, ids) for (word, blocks), ids in zip(held.items(), replay.encode(held)) for block in blocks], columns=["block", "word", "ids"])
+        def flush() -> pa.RecordBatch:
+            times = [len(blocks) for blocks in held.values()]
+            ids = _lists(replay.encode(held)).take(pa.array(np.repeat(np.arange(len(held)), times)))
+            words = pa.array(list(held), pa.string()).take(pa.array(np.repeat(np.arange(len(held)), times)))
+            blocks = pa.array(np.fromiter(chain.from_iterable(held.values()), np.int64, sum(times)))
             held.clear()
-            return frame
+            return pa.RecordBatch.from_arrays([blocks, words, ids], ["block", "word", "ids"])
 
         # rows come sorted by word, so all blocks of a word are in one replay
         last = None
         for batch in batches:
-            for block, word in zip(batch["block"], batch["word"]):
+            for block, word in zip(batch.column("block").to_pylist(), batch.column("word").to_pylist()):
                 if word != last and len(held) >= WORDS_AT_ONCE:
                     yield flush()
                 last = word
@@ -136,18 +155,25 @@ def _merge(ranks):
     return run
 
 
-def _assemble(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    ids = dict(zip(words["word"], words["ids"]))
-    rows = []
-    for doc, text in zip(documents["doc_id"], documents["text"]):
-        out: list[int] = []
-        for word in _SPLIT.findall(text):
-            out.extend(ids[word])
-        rows.append(out)
-    return pd.DataFrame({"doc_id": documents["doc_id"].array, "ids": rows})
-
-
-def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
+def _assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
+    """Ids of the documents of a block: each word is looked up, and its ids are copied as a run."""
+    place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+    ids = words.column("ids").combine_chunks() if words.num_rows else _lists([])
+    ids = ids if isinstance(ids, pa.ListArray) else ids.chunk(0)
+    starts = ids.offsets.to_numpy().astype(np.int64)
+    values, lengths = ids.values.to_numpy(), np.diff(starts)
+    parts, ends = [], [0]
+    for text in documents.column("text").to_pylist():
+        at = np.fromiter(map(place.__getitem__, split(text)), np.int64)
+        n = lengths[at]
+        total = int(n.sum())
+        parts.append(values[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(total)])
+        ends.append(ends[-1] + total)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.table({"doc_id": documents.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32)), pa.array(flat, pa.int32()))})
+
+
+def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, ids`` of every document row: ids by the vocabulary, without special tokens.
 
     Defined cases: null and empty texts have an empty list; a null or repeated doc_id is kept, row by row;
@@ -159,10 +185,10 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY, block_c
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, ids keep all digits beside nulls
     empty = rows.where("text IS NULL OR text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     texts = rows.where("text <> ''")
-    characters = texts.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    blocks = max(1, math.ceil(characters / block_characters))
+    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
     blocked = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    pairs = blocked.select("block", "text").mapInPandas(_words_of, "block bigint, word string").distinct()
-    merged = pairs.repartition("word").sortWithinPartitions("word").mapInPandas(_merge(ranks), "block bigint, word string, ids array<int>")
-    whole = blocked.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(_assemble, "doc_id string, ids array<int>")
+    pairs = blocked.select("block", "text").mapInArrow(_words_of, "block bigint, word string").distinct()
+    merged = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(_merge(ranks), "block bigint, word string, ids array<int>")
+    whole = blocked.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_assemble, "doc_id string, ids array<int>")
     return whole.unionByName(empty).select(F.col("doc_id").cast(kind).alias("doc_id"), "ids")
