@@ -71,3 +71,32 @@ def options(text: Column) -> Column:
     pattern = r"(?s)^.*?\(a\)\s*(.+?)\s*\(b\)\s*(.+?)\s*\(c\)\s*(.+?)\s*\(d\)\s*(.+?)\s*$"
     parts = F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, 5)])
     return F.when(text.rlike(pattern), parts)
+
+
+def told(content: Column, date: Column, speaker: Column) -> Column:
+    """A message as a history holds it: a line with its date, then its speaker's name where there is one."""
+    return F.concat(F.lit("[session_date: "), date, F.lit("]\n"), F.when(F.coalesce(F.length(F.trim(speaker)), F.lit(0)) > 0, F.concat(speaker, F.lit(": "))).otherwise(F.lit("")), content)
+
+
+def without_system(role: Column, content: Column) -> Column:
+    """``struct<role, content>``: a system message becomes a quoted note of the user, others stay."""
+    system = F.coalesce(role == "system", F.lit(False))
+    return F.struct(F.when(system, "user").otherwise(role).alias("role"), F.when(system, F.concat(F.lit("[historical system note]\n"), content)).otherwise(content).alias("content"))
+
+
+def same_answer(a: Column, b: Column) -> Column:
+    """Whether two answers agree apart from case and white space."""
+    return squeezed(F.lower(a)) == squeezed(F.lower(b))
+
+
+def migrated(labels: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Labels of repeated sessions moved to the one occurrence whose message at their place has the same content.
+
+    ``labels``: ``label_id, session_id, position, content``; ``occurrences``: ``session_id, occurrence_id, position, content``.
+    Result: ``label_id, matches, occurrence_id``; null where no occurrence matches or several do, as nothing is guessed.
+    """
+    key = ["session_id", "position", "digest__"]
+    digest = F.md5("content")
+    held = occurrences.select("session_id", "position", digest.alias("digest__"), "occurrence_id").groupBy(*key).agg(F.count(F.lit(1)).alias("n__"), F.min("occurrence_id").alias("o__"))
+    joined = labels.withColumn("digest__", digest).join(held, key, "left")
+    return joined.select("label_id", F.coalesce("n__", F.lit(0)).alias("matches"), F.when(F.col("n__") == 1, F.col("o__")).alias("occurrence_id"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType
 
 from threadloom.operators.index import exact_tokens
 
@@ -44,3 +44,35 @@ def hashed(text: Column) -> Column:
     A stand-in for an embedding model in tests and demos: deterministic, without any claim of quality.
     """
     return _counted(F.transform(exact_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % DIMENSIONS))
+
+
+@F.pandas_udf(BinaryType())
+def encoded(vector: pd.Series) -> pd.Series:
+    """Little-endian 32-bit floats of a vector; null for null."""
+    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def decoded(blob: pd.Series) -> pd.Series:
+    """The vector of ``encoded``; null where the bytes are no whole floats, hold a number that isn't finite, or give a
+    length that is off 1 by more than a thousandth."""
+
+    def one(b):
+        if b is None or not b or len(b) % 4:
+            return None
+        v = np.frombuffer(b, "<f4")
+        return v if np.isfinite(v).all() and abs(float(np.sqrt((v.astype(float) ** 2).sum())) - 1) <= 1e-3 else None
+
+    return blob.map(one)
+
+
+def norm(vector: Column) -> Column:
+    """Length of a vector."""
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def equivalent(a: Column, b: Column) -> Column:
+    """Whether two vectors may stand for each other: a cosine of at least .999999 and no component off by more than 1e-5."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    apart = F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    return F.coalesce((F.size(a) == F.size(b)) & (dot / (norm(a) * norm(b)) >= 0.999999) & (apart <= 1e-5), F.lit(False))
