@@ -21,7 +21,7 @@ def test_the_core_never_imports_the_llm_subpackage():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["p3_found", "store_totals", "ingest_classes", "neighbours_radius1", "evidence_render", "token_intervals", "reused_sessions", "latency_percentiles", "date_parse", "choice_scoring", "evidence_id_parse", "bm25_topk", "rrf_fusion", "evidence_pack_reserved", "evidence_pack_emitted", "evidence_grounded", "memory_adds", "memory_statistics", "memory_search", "chunk_requests", "retrieval_run", "retrieval_compare", "run_contract", "gold_sessions", "prepared_counts", "question_groups", "identity_components", "governance_draw", "rerank_order", "ledger_totals", "session_migration", "first_groups", "vector_audit", "vector_coverage"])
+@pytest.mark.parametrize("name", ["p3_found", "store_totals", "ingest_classes", "neighbours_radius1", "evidence_render", "token_intervals", "reused_sessions", "latency_percentiles", "date_parse", "choice_scoring", "evidence_id_parse", "bm25_topk", "evidence_pack_emitted", "memory_search", "chunk_requests", "retrieval_run", "run_contract", "gold_sessions", "prepared_counts", "rerank_order", "ledger_totals", "session_migration", "vector_audit"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()

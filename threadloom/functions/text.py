@@ -25,6 +25,9 @@ STOP_WORDS = tuple(
     " the their them then there these they this to us was were what when where which who why will with would you your".split()
 )
 
+#: Ids that name nobody, compared without case and outer blanks (fixed values).
+PLACEHOLDERS = ("", "-", "--", "0", "?", "n/a", "na", "nan", "nil", "none", "null", "unknown", "undefined", "anonymous")
+
 # Python's \w is letters, digits, other numbers and the underscore, but also leaves out nothing of L* and N*
 _RUNS = re.compile(f"([{CJK_CLASS}]+)|([^\\W_{CJK_CLASS}]+)")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.functions.text import PLACEHOLDERS
 from threadloom.operators import budgets, components, grading, index, search
 from threadloom.operators.delivery import first_delivery
 from threadloom.operators.ranks import split_by_rank
@@ -14,8 +15,6 @@ from threadloom.session import settle, write_table
 from threadloom.sources.tables import table
 
 PREFIXES = (1, 5, 10, 20)
-#: Ids that name nobody (fixed values).
-NOBODY = ("", "-", "0", "n/a", "none", "null", "unknown", "anonymous")
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +78,7 @@ def split_allocation(spark: SparkSession, d: str) -> DataFrame:
 
 def reused_sessions(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "histories")
-    known = F.when(~F.lower(F.trim("conversation_id")).isin(*NOBODY), F.col("conversation_id"))
+    known = F.when(~F.lower(F.trim("conversation_id")).isin(*PLACEHOLDERS), F.col("conversation_id"))
     return h.select(known.alias("conversation_id"), "original_split").where("conversation_id IS NOT NULL").groupBy("conversation_id").agg(F.count_distinct("original_split").alias("splits")).where("splits > 1")
 
 
@@ -99,7 +98,7 @@ def _transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 def _component_links(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "histories")
-    known = lambda c: F.when(~F.lower(F.trim(c)).isin(*NOBODY), F.col(c))
+    known = lambda c: F.when(~F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.col(c))
     one = lambda c, p: h.select(F.concat(F.lit("s:"), "sample_id").alias("a"), F.concat(F.lit(p), known(c)).alias("b"))
     shared = _transcripts(spark, d).select(F.concat(F.lit("s:"), "sample_id").alias("a"), F.concat(F.lit("x:"), "digest").alias("b"))
     return one("user_id", "u:").unionByName(one("conversation_id", "v:")).unionByName(shared).where("b IS NOT NULL").distinct()
@@ -186,7 +185,7 @@ def ledger_totals(spark: SparkSession, d: str) -> DataFrame:
 def identity_merge(spark: SparkSession, d: str) -> DataFrame:
     """Known conversations of each known author, as one sorted set per author."""
     h = table(spark, d, "histories")
-    known = lambda c: F.when(~F.lower(F.trim(c)).isin(*NOBODY), F.col(c))
+    known = lambda c: F.when(~F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.col(c))
     rows = h.select(known("user_id").alias("user_id"), known("conversation_id").alias("conversation_id")).where("user_id IS NOT NULL AND conversation_id IS NOT NULL")
     return rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("conversation_id")), "|").alias("conversations"))
 
@@ -243,7 +242,7 @@ _DOCS = f"""docs AS (SELECT 'documents' AS user_id, CAST(doc_id AS VARCHAR) AS i
 posted AS (SELECT user_id, id, sequence, doc_length, term, count(*) AS frequency FROM (SELECT user_id, id, sequence, len(ts) AS doc_length, unnest(ts) AS term FROM docs) GROUP BY ALL),
 users AS (SELECT user_id, count(*) AS message_count, CAST(sum(len(ts)) AS BIGINT) AS total_length FROM docs GROUP BY user_id),
 terms AS (SELECT user_id, term, count(*) AS document_count FROM posted GROUP BY ALL), {_UNITS}"""
-_NOBODY = "(" + ", ".join(f"'{x}'" for x in NOBODY) + ")"
+_NOBODY = "(" + ", ".join(f"'{x}'" for x in PLACEHOLDERS) + ")"
 
 
 def _known(c: str) -> str:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.functions.text import PLACEHOLDERS
 from threadloom.operators import attribution, prepare
-from threadloom.plans.evaluation import NOBODY
 from threadloom.plans.prelude import SQL_M, first_messages
 from threadloom.plans.searching import _fused, _packed, _Store
 from threadloom.operators.context import evidence_items
@@ -37,7 +37,7 @@ def occurrence_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contaminated_histories(spark: SparkSession, d: str) -> DataFrame:
-    known = lambda c: F.when(~F.lower(F.trim(c)).isin(*NOBODY), F.col(c)).alias(c)
+    known = lambda c: F.when(~F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.col(c)).alias(c)
     h = table(spark, d, "histories").select("sample_id", "original_split", known("user_id"), known("conversation_id"))
     hits = prepare.contaminated(h.where("original_split <> 'dev'"), h.where("original_split = 'dev'"), ["user_id", "conversation_id"])
     return hits.select("sample_id").distinct()
@@ -57,7 +57,7 @@ count(*) OVER (PARTITION BY sample_id, session_id, trim(regexp_replace(coalesce(
 
 
 def _known(c: str) -> str:
-    return f"CASE WHEN lower(trim({c}, ' ')) NOT IN ({', '.join(repr(x) for x in NOBODY)}) THEN {c} END"
+    return f"CASE WHEN lower(trim({c}, ' ')) NOT IN ({', '.join(repr(x) for x in PLACEHOLDERS)}) THEN {c} END"
 
 
 ORACLES = {
