@@ -100,7 +100,7 @@ def evidence_items(ranked: DataFrame, messages: DataFrame, radius: int = 1, grou
     joined afterwards, for the messages that are shown.
     """
     sized = messages.select("user_id", "session_id", "id", "sequence", "source_timestamp_ms", F.length(evidence()).cast("bigint").alias("size"))
-    hits = ranked.select("query_id", "user_id", "id", "rank", F.col("score").cast("double").alias("score"))
+    hits = write_table(ranked.select("query_id", "user_id", "id", "rank", F.col("score").cast("double").alias("score")), "hits")
     sessions = sized.join(hits.select("user_id", "id").distinct(), ["user_id", "id"], "left_semi").select("user_id", "session_id").distinct()
     inside = write_table(sized.join(sessions, ["user_id", "session_id"], "left_semi"), "sessions")
     near = neighbours(inside, radius).select("user_id", "id", F.concat("before", "after").alias("near"))

@@ -27,6 +27,13 @@ def user_statistics(messages: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("message_count"), F.sum("length").alias("total_length"))
 
 
+def statistics_of(messages: DataFrame, posted: DataFrame) -> DataFrame:
+    """``user_statistics`` of messages whose postings are there: lengths are summed from them, so no text is read again."""
+    counted = messages.groupBy("user_id").agg(F.count(F.lit(1)).alias("message_count"), F.lit(0).cast("bigint").alias("total_length"))
+    summed = posted.groupBy("user_id").agg(F.lit(0).cast("bigint").alias("message_count"), F.sum("frequency").alias("total_length"))
+    return counted.unionByName(summed).groupBy("user_id").agg(F.sum("message_count").alias("message_count"), F.sum("total_length").alias("total_length"))
+
+
 def term_statistics(posted: DataFrame) -> DataFrame:
     """``user_id, term, document_count``."""
     return posted.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("document_count"))

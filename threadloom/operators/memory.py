@@ -47,9 +47,18 @@ class Memory:
         return rows
 
     def _commit(self, messages: DataFrame, name: str, more: dict[str, DataFrame], **notes) -> None:
-        posted = write_table(index.postings(messages), "postings")
-        tables = {"messages": self._folded(messages, "messages"), "postings": self._folded(posted, "postings"), "users": index.user_statistics(messages), "terms": index.term_statistics(posted)} | more
-        snapshots.commit(self.spark, self.path, tables, name, _FOLDERS, **notes)
+        """Writes messages, then what follows from them as they were written, then the manifest."""
+        version = snapshots.next_version(self.spark, self.path)
+        put = lambda table, df: snapshots.write_part(self.spark, self.path, version, table, df, _FOLDERS.get(table))
+        held = put("messages", self._folded(messages, "messages"))
+        posted = put("postings", self._folded(index.postings(held), "postings"))
+        put("users", index.statistics_of(held, posted))
+        put("terms", index.term_statistics(posted))
+        for table, df in more.items():
+            put(table, df)
+        high = notes.pop("high_water", None)
+        high = (held.agg(F.max("sequence")).first()[0] or 0) if high is None else high
+        snapshots.publish(self.spark, self.path, version, ["messages", "postings", "users", "terms", *more], name, high_water=max(high, self.high_water()), **notes)
 
     def _folded(self, rows: DataFrame, name: str) -> DataFrame:
         """Rows with their folder, brought together by folder; a large folder is split over several tasks and files."""
@@ -61,8 +70,7 @@ class Memory:
     def load(self, messages: DataFrame, name: str = "load") -> None:
         """Takes over messages that have their ids and sequences already, and rebuilds index and statistics; once per ``name``."""
         if not self.done(name):
-            high = messages.agg(F.max("sequence")).first()[0] or 0
-            self._commit(messages, name, {}, high_water=max(high, self.high_water()))
+            self._commit(messages, name, {})
 
     def high_water(self) -> int:
         """The largest sequence given out, from the manifests."""

@@ -32,20 +32,34 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n) for n in names if n.isdigit() and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/{n}/_SUCCESS")))
 
 
+def write_part(spark: SparkSession, path: str, version: int, table: str, df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes one table of a version that isn't visible yet, and reads it back; ``folder`` is its folder column."""
+    writer = df.write.mode("overwrite")
+    at = f"{path}/data/{table}/version={version}"
+    (writer.partitionBy(folder) if folder else writer).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def publish(spark: SparkSession, path: str, version: int, tables: list[str], name: str = "", **notes) -> None:
+    """Writes the manifest of a version, which makes all of its tables visible at once."""
+    line = json.dumps({"version": version, "tables": sorted(tables), "name": name} | notes)
+    spark.range(1, numPartitions=1).select(F.lit(line).alias("value")).write.mode("overwrite").text(f"{path}/manifest/{version}")
+
+
+def next_version(spark: SparkSession, path: str) -> int:
+    return (versions(spark, path) or [0])[-1] + 1
+
+
 def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], name: str = "", partition_by: dict[str, str] | None = None, **notes) -> int:
     """Writes all tables of the next version, then its manifest; a failure before that leaves the last version.
 
     ``name`` tells what the version is (a migration or batch that may be run once only), ``partition_by`` the folder column of
     a table; further arguments are kept as notes.
     """
-    version = (versions(spark, path) or [0])[-1] + 1
+    version = next_version(spark, path)
     for table, df in tables.items():
-        writer = df.write.mode("overwrite")
-        if partition_by and table in partition_by:
-            writer = writer.partitionBy(partition_by[table])
-        writer.parquet(f"{path}/data/{table}/version={version}")
-    line = json.dumps({"version": version, "tables": sorted(tables), "name": name} | notes)
-    spark.range(1, numPartitions=1).select(F.lit(line).alias("value")).write.mode("overwrite").text(f"{path}/manifest/{version}")
+        write_part(spark, path, version, table, df, (partition_by or {}).get(table))
+    publish(spark, path, version, list(tables), name, **notes)
     return version
 
 
