@@ -63,6 +63,12 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.replay(spark, f"{d}/messages.parquet").where("reason IS NULL").select("user_id", "session_id", "turns")
 
 
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of each good conversation in order, contents by their digests."""
+    good = conversations.replay(spark, f"{d}/messages.parquet").where("reason IS NULL")
+    return good.select("user_id", "session_id", F.posexplode("turns").alias("place", "t")).select("user_id", "session_id", "place", "t.speaker", F.md5("t.content").alias("digest"))
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Conversations by verdict, and how many of them went on after a silence that had closed them."""
     judged = conversations.replay(spark, f"{d}/messages.parquet", contents=False)
@@ -97,7 +103,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p2_batches, p2_audit, p4_found, p4_conversations, p4_report, p5_pieces, p5_found, p5_coverage, p6_ids, p7_found, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_assigned, p2_batches, p2_audit, p4_found, p4_conversations, p4_turns, p4_report, p5_pieces, p5_found, p5_coverage, p6_ids, p7_found, p8_found, p8_report)}
 
 _NOBODY = "(" + ", ".join(f"'{x}'" for x in splits.PLACEHOLDERS) + ")"
 
@@ -137,6 +143,8 @@ ORACLES: dict[str, str] = {
     "p2_found": f"{_LABELS} SELECT sample_id FROM labels WHERE component IN (SELECT component FROM labels JOIN histories USING (sample_id) GROUP BY component HAVING count(DISTINCT original_split) > 1)",
     "p2_audit": f"{_LABELS} SELECT count(*) AS samples, count(DISTINCT component) AS components, 0::BIGINT AS torn, true AS in_proportion FROM labels",
     "p4_found": f"{_BAD} SELECT user_id, session_id FROM bad",
+    "p4_turns": f"""{_BAD} SELECT f.user_id, f.session_id, CAST(row_number() OVER (PARTITION BY f.user_id, f.session_id ORDER BY CASE WHEN dated THEN rts ELSE 0 END, rseq, request_id, place) - 1 AS INT) AS place,
+CASE side WHEN 'u' THEN 'user' ELSE 'assistant' END AS speaker, md5(content) AS digest FROM f ANTI JOIN bad ON bad.user_id IS NOT DISTINCT FROM f.user_id AND bad.session_id IS NOT DISTINCT FROM f.session_id WHERE NOT blank AND side IN ('u', 'a')""",
     "p4_report": f"""{_BAD}, g AS (SELECT user_id, session_id, ingested_at_ms - lag(ingested_at_ms) OVER (PARTITION BY user_id, session_id ORDER BY ingested_at_ms) AS silence FROM messages),
 c AS (SELECT user_id, session_id, max(coalesce(silence, 0)) >= 172800000 AS reopened FROM g GROUP BY user_id, session_id)
 SELECT bad.user_id IS NOT NULL AS dropped, count(*) AS conversations, count(CASE WHEN c.reopened THEN 1 END) AS reopened FROM c LEFT JOIN bad USING (user_id, session_id) GROUP BY ALL""",
