@@ -134,16 +134,18 @@ def replay_parts(spark: SparkSession, path: str, contents: bool = True, gap: str
     """(parts, rows): what the stream emitted for the stored message table at ``path``, and the slimmed rows it was given.
 
     parts: ``user_id, session_id, held, reason, turns``, with held the rows of the part. Rows are staged by time of arrival in
-    ``slices`` of equal spans; each becomes visible to the running query as one micro-batch, and conversations that were silent
+    ``slices`` of about equal size; each becomes visible to the running query as one micro-batch, and conversations that were silent
     for ``gap`` before its end close with the next. An end marker behind the last row closes the rest.
     """
     base = scratch_path(spark, "conversations")
     slimmed = slim(spark.read.parquet(path).select(*_KEEP), contents)
-    low, high = slimmed.agg(F.min("arrived"), F.max("arrived")).first()
-    if low is None:
-        low = high = datetime.datetime(1970, 1, 1)
-    span = max((high - low).total_seconds() / slices, 1e-3)
-    place = F.least(F.floor((F.col("arrived").cast("double") - F.lit(low).cast("double")) / span), F.lit(slices - 1)).cast("int")
+    seconds = F.col("arrived").cast("double")
+    shares = [k / slices for k in range(1, slices)] or [1.0]
+    high, bounds = slimmed.agg(F.max("arrived"), F.percentile_approx(seconds, shares, 1000)).first()
+    high = high or datetime.datetime(1970, 1, 1)
+    place = F.lit(0)
+    for bound in sorted(set(bounds or [])) if slices > 1 else ():
+        place = place + (seconds >= bound).cast("int")
     slimmed.withColumn("slice", place).write.partitionBy("slice").parquet(f"{base}/staged")
     schema = slimmed.schema
     system = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
