@@ -62,3 +62,17 @@ def number_rows(rows: DataFrame, counted: Column, order: list[str], start: int)
     inside = F.sum(F.col("counted__").cast("int")).over(Window.partitionBy("part__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     numbered = ranged.withColumn("inside__", inside).join(offset, "part__")
     return numbered.withColumn("sequence", F.when(F.col("counted__"), start + F.col("offset__") + F.col("inside__"))).drop("counted__", "part__", "inside__", "offset__")
+
+
+#: Consecutive numbers of which one task sums up the weights.
+SPAN = 10_000
+
+
+def sums_before(rows: DataFrame, number: str, weight: str) -> DataFrame:
+    """Adds ``before``, the summed ``weight`` of the rows with a smaller ``number`` (consecutive, each once), span by span."""
+    marked = rows.withColumn("span__", F.floor(F.col(number) / SPAN))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy("span__").agg(F.sum(weight).alias("n__"))
+    offset = sums.withColumn("offset__", F.coalesce(F.sum("n__").over(earlier(Window.orderBy("span__"))), F.lit(0))).drop("n__")
+    inside = F.coalesce(F.sum(weight).over(earlier(Window.partitionBy("span__").orderBy(number))), F.lit(0))
+    return marked.withColumn("inside__", inside).join(F.broadcast(offset), "span__").withColumn("before", F.col("offset__") + F.col("inside__")).drop("span__", "offset__", "inside__")

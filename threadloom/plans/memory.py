@@ -10,7 +10,7 @@ from threadloom.operators.memory import Memory
 from threadloom.plans.prelude import SQL_M, first_messages, search_requests
 from threadloom.plans.searching import _STORE, _weighted
 from threadloom.plans.store import _blank
-from threadloom.session import scratch_path
+from threadloom.session import put_aside, put_table, scratch_path
 
 _COLUMNS = ["user_id", "session_id", "request_id", "message_index", "role", "content", "source_timestamp_ms"]
 
@@ -24,7 +24,9 @@ def _added(spark: SparkSession, d: str) -> tuple[Memory, list[DataFrame]]:
     memory = Memory(spark, scratch_path(spark, "memory"))
     m = first_messages(spark, d, _COLUMNS)
     drawn = F.conv(F.substring(F.md5("request_id"), 1, 4), 16, 10).cast("int") % 20
-    rows = m.select(*_COLUMNS, drawn.alias("drawn"), F.min("sequence").over(Window.partitionBy("user_id", "request_id")).alias("arrival"))
+    arrived = lambda first: first.select(*_COLUMNS, drawn.alias("drawn"), F.min("sequence").over(Window.partitionBy("user_id", "request_id")).alias("arrival"))
+    with put_aside(m, "first") as held:
+        rows = put_table(arrived(held), "arrivals")
     first = rows.where("drawn % 2 = 0")
     changed = F.when(F.col("drawn") == 0, F.coalesce("source_timestamp_ms", F.lit(0)) + 1).otherwise(F.col("source_timestamp_ms"))
     second = rows.withColumn("source_timestamp_ms", changed).withColumn("arrival", F.col("arrival") + 10**12)
@@ -45,7 +47,7 @@ def memory_search(spark: SparkSession, d: str) -> DataFrame:
     """Messages found and best score of each search after both rounds."""
     memory, _ = _added(spark, d)
     requests = search_requests(spark, d, memory.read("messages"))
-    found = memory.lexical(requests, 2**31 - 1)
+    found = memory.scores(requests)
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("score").alias("best"))
 
 

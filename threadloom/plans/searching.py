@@ -9,7 +9,7 @@ from threadloom.operators import context, search, vectors
 from threadloom.operators.memory import Memory
 from threadloom.operators.ranks import within_budget
 from threadloom.plans.prelude import SQL_M, SQL_POSTED, SQL_QUERIES, SQL_STOP, SQL_USERS, first_messages, search_requests, sql_tokens
-from threadloom.session import scratch_path, write_table
+from threadloom.session import put_table, scratch_path
 from threadloom.sources.tables import table
 
 TOP = 20
@@ -37,7 +37,7 @@ class _Store:
     def __init__(self, spark: SparkSession, d: str):
         self.memory = memory_of(spark, d)
         self.messages = self.memory.read("messages").drop("bucket")
-        self.requests = write_table(search_requests(spark, d, self.messages), "requests")
+        self.requests = put_table(search_requests(spark, d, self.messages), "requests")
 
     def weighted(self) -> DataFrame:
         return self.memory.weighted(self.requests)
@@ -48,9 +48,7 @@ class _Store:
 
     def semantic(self, most: int | None = None) -> DataFrame:
         """Cosine over stand-in vectors."""
-        asked = self.requests.select("query_id", "user_id", vectors.hashed(F.concat_ws("\n", "query", F.element_at("options", 1))).alias("vector"))
-        held = self.messages.select("user_id", "id", vectors.hashed(F.col("content")).alias("vector"))
-        return search.cosine_in_blocks(asked, held, most or search.candidates_for(TOP))
+        return self.memory.semantic(self.requests, most or search.candidates_for(TOP))
 
 
 def query_term_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +68,7 @@ def hashed_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(s: _Store, weight: float) -> DataFrame:
-    return search.fuse(s.lexical(), s.semantic(), weight, TOP)
+    return search.fuse(put_table(s.lexical(), "lexical"), put_table(s.semantic(), "semantic"), weight, TOP)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.session import shuffles_dropped
+
 
 def manifests(spark: SparkSession, path: str) -> list[dict]:
     """Manifests of the committed versions, oldest first: ``version, tables, name`` and the notes."""
@@ -34,9 +36,10 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 def write_part(spark: SparkSession, path: str, version: int, table: str, df: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes one table of a version that isn't visible yet, and reads it back; ``folder`` is its folder column."""
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     at = f"{path}/data/{table}/version={version}"
-    (writer.partitionBy(folder) if folder else writer).parquet(at)
+    with shuffles_dropped(spark):
+        (writer.partitionBy(folder) if folder else writer).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
