@@ -9,7 +9,7 @@ from threadloom.operators import context, search, vectors
 from threadloom.operators.memory import Memory
 from threadloom.operators.ranks import within_budget
 from threadloom.plans.prelude import SQL_M, SQL_POSTED, SQL_QUERIES, SQL_STOP, SQL_USERS, first_messages, search_requests, sql_tokens
-from threadloom.session import put_table, scratch_path
+from threadloom.session import put_aside, put_table, scratch_path
 from threadloom.sources.tables import table
 
 TOP = 20
@@ -68,7 +68,8 @@ def hashed_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(s: _Store, weight: float) -> DataFrame:
-    return search.fuse(put_table(s.lexical(), "lexical"), put_table(s.semantic(), "semantic"), weight, TOP)
+    with put_aside(s.lexical(), "lexical") as lexical, put_aside(s.semantic(), "semantic") as semantic:
+        return put_table(search.fuse(lexical, semantic, weight, TOP), "fused")
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +82,7 @@ def rrf_weighted_half(spark: SparkSession, d: str) -> DataFrame:
 
 def scoped_fetch(spark: SparkSession, d: str) -> DataFrame:
     s = _Store(spark, d)
-    return search.fetch(s.lexical(most=TOP), s.messages.drop("sequence")).select("query_id", "rank", "id", "session_id", "role", "content")
+    return search.fetch(put_table(s.lexical(most=TOP), "lexical"), s.messages.drop("sequence")).select("query_id", "rank", "id", "session_id", "role", "content")
 
 
 def evidence_pack_reserved(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +97,9 @@ def evidence_pack_emitted(spark: SparkSession, d: str) -> DataFrame:
 
 def char_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     s = _Store(spark, d)
-    rows = search.fetch(s.lexical(most=TOP), s.messages.drop("sequence"))
-    return within_budget(rows, ["query_id"], "rank", F.length(F.coalesce("content", F.lit(""))), 2000).select("query_id", "rank", "id")
+    sized = s.messages.select("user_id", "id", F.length(F.coalesce("content", F.lit(""))).alias("size"))
+    rows = search.fetch(put_table(s.lexical(most=TOP), "lexical"), sized)
+    return within_budget(rows, ["query_id"], "rank", F.col("size"), 2000).select("query_id", "rank", "id")
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
