@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.session import write_table
+from threadloom.session import put_aside, put_table
 
 WINDOW_CHARACTERS = 16_000
 EVIDENCE_CHARACTERS = 500_000
@@ -36,20 +38,21 @@ def evidence() -> Column:
     return F.concat(F.lit("[source "), source_header(), F.lit("]\n"), F.coalesce("content", F.lit("")))
 
 
-def neighbours(messages: DataFrame, radius: int) -> DataFrame:
-    """Adds ``before`` and ``after``: ids of up to ``radius`` messages on each side inside (user, session).
+def neighbours(messages: DataFrame, radius: int, item: str = "id") -> DataFrame:
+    """Adds ``before`` and ``after``: ids (or another ``item``) of up to ``radius`` messages on each side inside (user, session).
 
     Source time orders the neighbours only where the message and all its neighbours by arrival have one; then
     they are the nearest dated messages, otherwise the nearest by arrival. Radius 0 gives none.
     """
     if not radius:
-        return messages.select("user_id", "session_id", "id", F.array().cast("array<string>").alias("before"), F.array().cast("array<string>").alias("after"), F.lit(False).alias("by_time"))
+        none = F.filter(F.array(item), lambda _: F.lit(False))
+        return messages.select("user_id", "session_id", "id", none.alias("before"), none.alias("after"), F.lit(False).alias("by_time"))
     scope = Window.partitionBy("user_id", "session_id")
     arrival = scope.orderBy("sequence", "id")
     dated = F.col("source_timestamp_ms").isNotNull()
     # undated messages sort apart, so that a frame among the dated ones never meets them
     time = Window.partitionBy("user_id", "session_id", dated).orderBy("source_timestamp_ms", "sequence", "id")
-    ids = lambda order, a, b: F.collect_list("id").over(order.rowsBetween(a, b))
+    ids = lambda order, a, b: F.collect_list(item).over(order.rowsBetween(a, b))
     marked = messages.select(
         "user_id",
         "session_id",
@@ -100,20 +103,20 @@ def evidence_items(ranked: DataFrame, messages: DataFrame, radius: int = 1, grou
     joined afterwards, for the messages that are shown.
     """
     sized = messages.select("user_id", "session_id", "id", "sequence", "source_timestamp_ms", F.length(evidence()).cast("bigint").alias("size"))
-    hits = write_table(ranked.select("query_id", "user_id", "id", "rank", F.col("score").cast("double").alias("score")), "hits")
-    sessions = sized.join(hits.select("user_id", "id").distinct(), ["user_id", "id"], "left_semi").select("user_id", "session_id").distinct()
-    inside = write_table(sized.join(sessions, ["user_id", "session_id"], "left_semi"), "sessions")
-    near = neighbours(inside, radius).select("user_id", "id", F.concat("before", "after").alias("near"))
-    placed = hits.join(near, ["user_id", "id"]).select("query_id", "user_id", "rank", "score", F.col("id").alias("anchor"), F.posexplode(F.concat(F.array("id"), F.col("near"))).alias("pos", "id"))
-    ones = placed.join(inside.select("user_id", "id", "size"), ["user_id", "id"]).groupBy("query_id", "user_id", "rank", "score", "anchor").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "size"))).alias("xs"))
-    strip = lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"))
-    one = F.struct("rank", F.col("anchor").alias("id"), F.col("xs")[0]["size"].alias("size"), "score", F.transform(F.filter("xs", lambda x: x["pos"] > 0), strip).alias("near"))
-    lists = ones.groupBy("query_id", "user_id").agg(F.sort_array(F.collect_list(one)).alias("lists"))
-    kept = fold_items(lists, grouping, window, most).select("query_id", "user_id", F.posexplode("kept").alias("at", "k"))
-    shown = kept.select("query_id", "user_id", (F.col("at") + 1).alias("place"), F.col("k.id").alias("item"), "k.score", F.posexplode("k.parts").alias("pos", "id"))
-    texts = messages.select("user_id", "id", evidence().alias("text"))
-    told = shown.join(texts, ["user_id", "id"]).groupBy("query_id", "place", F.col("item").alias("id"), "score").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("ts"))
-    return told.select("query_id", "place", "id", F.array_join("ts.text", BETWEEN).alias("content"), "score")
+    with ExitStack() as stack, put_aside(ranked.select("query_id", "user_id", "id", "rank", F.col("score").cast("double").alias("score")), "hits") as hits:
+        with put_aside(sized.join(hits.select("user_id", "id").distinct(), ["user_id", "id"], "left_semi").select("user_id", "session_id").distinct(), "sessions") as sessions:
+            inside = sized.join(sessions, ["user_id", "session_id"], "left_semi").withColumn("one", F.struct("id", "size"))
+            near = stack.enter_context(put_aside(neighbours(inside, radius, "one").select("user_id", "id", F.filter(F.concat("before", "after"), lambda x: x["id"].isNotNull()).alias("near")), "near"))
+        anchors = hits.join(near, ["user_id", "id"]).join(sized.select("user_id", "id", "size"), ["user_id", "id"])
+        lists = anchors.groupBy("query_id", "user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "size", "score", "near"))).alias("lists"))
+        kept = fold_items(lists, grouping, window, most).select("query_id", "user_id", F.posexplode("kept").alias("at", "k"))
+        parts = kept.select("query_id", "user_id", (F.col("at") + 1).alias("place"), "k.score", F.posexplode("k.parts").alias("pos", "id"))
+        # headers are long and follow from a few fields, so they are made where the parts of an item have met; its first part is the item's own
+        fields = messages.select("user_id", "id", "role", "session_id", "request_id", "message_index", "sequence", "source_timestamp_ms", "content")
+        with put_aside(parts, "shown") as shown:
+            met = put_table(shown.join(fields, ["user_id", "id"]).drop("user_id"), "parts").repartition("query_id", "place")
+    told = met.select("query_id", "place", "score", "pos", "id", evidence().alias("text")).groupBy("query_id", "place").agg(F.min("score").alias("score"), F.sort_array(F.collect_list(F.struct("pos", "id", "text"))).alias("ts"))
+    return told.select("query_id", "place", F.col("ts")[0]["id"].alias("id"), F.array_join("ts.text", BETWEEN).alias("content"), "score")
 
 
 def cut_bytes(text: str, most: int) -> list[str]:
