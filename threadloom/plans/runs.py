@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import squeezed
-from threadloom.operators import runs, search, store, vectors
+from threadloom.operators import runs, store
 from threadloom.plans.prelude import SQL_QUERIES
 from threadloom.plans.searching import _STORE, _lexical, _semantic, _weighted, memory_of
-from threadloom.session import write_table
+from threadloom.session import put_table
 from threadloom.sources.tables import table
 
 #: Items and characters at which runs are graded; 0 is no budget.
@@ -26,22 +26,21 @@ class _Known:
         after = F.lead(F.struct("id", "content")).over(Window.partitionBy("user_id", "session_id").orderBy("sequence", "id"))
         drawn = F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 50 == 0
         picked = self.messages.select("user_id", "session_id", "id", "content", after.alias("after")).where(drawn & ~store.blank(F.col("content")) & F.col("user_id").isNotNull())
-        self.known = write_table(picked, "known")
+        self.known = put_table(picked, "known")
         self.requests = self.known.select(F.col("id").alias("query_id"), "user_id", F.col("content").alias("query"), F.array().cast("array<string>").alias("options"))
         gold = F.array(F.struct(F.lit("own").alias("unit_id"), F.col("id").alias("id"), F.col("content").alias("text")), F.struct(F.lit("next").alias("unit_id"), F.col("after.id").alias("id"), F.col("after.content").alias("text")))
         self.units = self.known.select(F.col("id").alias("query_id"), "user_id", "session_id", F.explode(gold).alias("u")).select("query_id", "user_id", "session_id", "u.*").where("id IS NOT NULL")
 
     def returned(self, ranked: DataFrame) -> DataFrame:
         """Ranked ids with their sessions and contents."""
-        return write_table(ranked.select("query_id", "user_id", "id", "score", "rank").join(self.messages.select("user_id", "id", "session_id", F.col("content").alias("body")), ["user_id", "id"]), "returned")
+        found = put_table(ranked.select("query_id", "user_id", "id", "score", "rank"), "ranked")
+        return put_table(found.join(self.messages.select("user_id", "id", "session_id", F.col("content").alias("body")), ["user_id", "id"]), "returned")
 
     def lexical(self) -> DataFrame:
         return self.returned(self.memory.lexical(self.requests, TOP))
 
     def semantic(self) -> DataFrame:
-        asked = self.requests.select("query_id", "user_id", vectors.hashed(F.col("query")).alias("vector"))
-        held = self.messages.select("user_id", "id", vectors.hashed(F.col("content")).alias("vector"))
-        return self.returned(search.cosine_in_blocks(asked, held, TOP))
+        return self.returned(self.memory.semantic(self.requests, TOP))
 
     def frequency(self) -> DataFrame:
         """In how many messages of its user a unit's text stands, apart from white space."""
@@ -52,7 +51,8 @@ class _Known:
 
     def grades(self, returned: DataFrame) -> tuple[DataFrame, DataFrame]:
         cut = runs.limits(returned, PREFIXES, BUDGETS)
-        return runs.graded(runs.unit_ranks(self.units, returned, self.frequency()), cut), cut
+        ranks = put_table(runs.unit_ranks(self.units, returned, put_table(self.frequency(), "frequency")), "ranks")
+        return put_table(runs.graded(ranks, cut), "graded"), cut
 
 
 def retrieval_run(spark: SparkSession, d: str) -> DataFrame:
