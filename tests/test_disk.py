@@ -39,7 +39,7 @@ def size(path) -> int:
     return sum(p.stat().st_size for p in Path(path).rglob("*.parquet"))
 
 
-@pytest.mark.parametrize(("name", "most"), [("bm25_options", 6), ("query_term_weights", 8), ("char_budget_prefix", 8), ("evidence_pack_emitted", 10), ("evidence_grounded", 11), ("retrieval_summary", 9), ("hashed_topk", 8), ("rrf_weighted_half", 9), ("bm25_topk", 8), ("evidence_pack_reserved", 10), ("retrieval_compare", 10), ("scoped_fetch", 8), ("memory_search", 12), ("retrieval_run", 9)])
+@pytest.mark.parametrize(("name", "most"), [("bm25_options", 6), ("query_term_weights", 8), ("char_budget_prefix", 8), ("evidence_pack_emitted", 10), ("evidence_grounded", 11), ("retrieval_summary", 9), ("hashed_topk", 8), ("rrf_weighted_half", 9), ("bm25_topk", 8), ("evidence_pack_reserved", 10), ("retrieval_compare", 10), ("scoped_fetch", 8), ("memory_search", 12), ("retrieval_run", 9), ("rrf_fusion", 9)])
 def test_shuffles_follow_the_input(spark, folder, name, most):
     searching._BUILT.clear()  # each pays for its build
     before = shuffled(spark)
