@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from threadloom.operators import blocks, index, search, store
+from threadloom.operators import blocks, index, memory as stored, search, store
 from threadloom.operators.memory import Memory
 from threadloom.plans import searching
 
@@ -76,3 +76,16 @@ def test_sums_before(spark, monkeypatch):
     monkeypatch.setattr(store, "SPAN", 4)
     rows = spark.createDataFrame([(i, i % 3) for i in range(1, 30)], "i bigint, n bigint")
     assert {r.i: r.before for r in store.sums_before(rows, "i", "n").collect()} == {i: sum(k % 3 for k in range(1, i)) for i in range(1, 30)}
+
+
+def test_terms_are_counted_in_steps_and_stored_in_order(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "STEP", 500)
+    messages, memory = spark.read.parquet(f"{folder}/messages.parquet"), Memory(spark, str(tmp_path / "memory"))
+    memory.load(messages.drop("ingested_at_ms", "doc_length", "store_id"))
+    want = index.term_statistics(index.postings(messages))
+    got = memory.read("terms")
+    assert got.count() == want.count() and not got.exceptAll(want.select(got.columns)).count()
+    files = sorted((tmp_path / "memory/data/terms/version=1").glob("*.parquet"))
+    assert len(files) > 4  # steps
+    rows = [tuple(r) for r in spark.read.parquet(str(files[0])).select("user_id", "term").collect()]
+    assert rows == sorted(rows)

@@ -34,9 +34,9 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n) for n in names if n.isdigit() and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/{n}/_SUCCESS")))
 
 
-def write_part(spark: SparkSession, path: str, version: int, table: str, df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes one table of a version that isn't visible yet, and reads it back; ``folder`` is its folder column."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+def write_part(spark: SparkSession, path: str, version: int, table: str, df: DataFrame, folder: str | None = None, mode: str = "overwrite") -> DataFrame:
+    """Writes one table of a version that isn't visible yet (``append``: more of it), and reads it back; ``folder`` is its folder column."""
+    writer = df.write.mode(mode).option("compression", "zstd")
     at = f"{path}/data/{table}/version={version}"
     with shuffles_dropped(spark):
         (writer.partitionBy(folder) if folder else writer).parquet(at)
