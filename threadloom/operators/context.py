@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import ExitStack
 
 from pyspark.sql import Column, DataFrame
@@ -96,25 +97,27 @@ def fold_items(lists: DataFrame, grouping: str, window: int = WINDOW_CHARACTERS,
     return lists.withColumn("ranked", F.transform("lists", lambda x: x["id"])).withColumn("kept", F.expr(fold)).drop("ranked")
 
 
-def evidence_items(ranked: DataFrame, messages: DataFrame, radius: int = 1, grouping: str = "reserved", window: int = WINDOW_CHARACTERS, most: int = EVIDENCE_CHARACTERS) -> DataFrame:
+def evidence_items(ranked: DataFrame, messages: DataFrame, radius: int = 1, grouping: str = "reserved", window: int = WINDOW_CHARACTERS, most: int = EVIDENCE_CHARACTERS, aside: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """``query_id, place, id, content, score`` of every ranked list (at most a hundred anchors each).
 
     Neighbours are sought in the sessions of the ranked messages only. What is folded is ids and lengths; texts are
-    joined afterwards, for the messages that are shown.
+    joined afterwards, for the messages that are shown. ``aside``: that of ``put_stepwise``, for a step of it.
     """
     sized = messages.select("user_id", "session_id", "id", "sequence", "source_timestamp_ms", F.length(evidence()).cast("bigint").alias("size"))
-    with ExitStack() as stack, put_aside(ranked.select("query_id", "user_id", "id", "rank", F.col("score").cast("double").alias("score")), "hits") as hits:
+    with ExitStack() as stack:
+        put = aside or (lambda df, name: stack.enter_context(put_aside(df, name)))
+        hits = put(ranked.select("query_id", "user_id", "id", "rank", F.col("score").cast("double").alias("score")), "hits")
         with put_aside(sized.join(hits.select("user_id", "id").distinct(), ["user_id", "id"], "left_semi").select("user_id", "session_id").distinct(), "sessions") as sessions:
             inside = sized.join(sessions, ["user_id", "session_id"], "left_semi").withColumn("one", F.struct("id", "size"))
-            near = stack.enter_context(put_aside(neighbours(inside, radius, "one").select("user_id", "id", F.filter(F.concat("before", "after"), lambda x: x["id"].isNotNull()).alias("near")), "near"))
+            near = put(neighbours(inside, radius, "one").select("user_id", "id", F.filter(F.concat("before", "after"), lambda x: x["id"].isNotNull()).alias("near")), "near")
         anchors = hits.join(near, ["user_id", "id"]).join(sized.select("user_id", "id", "size"), ["user_id", "id"])
         lists = anchors.groupBy("query_id", "user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "size", "score", "near"))).alias("lists"))
         kept = fold_items(lists, grouping, window, most).select("query_id", "user_id", F.posexplode("kept").alias("at", "k"))
         parts = kept.select("query_id", "user_id", (F.col("at") + 1).alias("place"), "k.score", F.posexplode("k.parts").alias("pos", "id"))
         # headers are long and follow from a few fields, so they are made where the parts of an item have met; its first part is the item's own
         fields = messages.select("user_id", "id", "role", "session_id", "request_id", "message_index", "sequence", "source_timestamp_ms", "content")
-        with put_aside(parts, "shown") as shown:
-            met = put_table(shown.join(fields, ["user_id", "id"]).drop("user_id"), "parts").repartition("query_id", "place")
+        met = put(parts, "shown").join(fields, ["user_id", "id"]).drop("user_id")
+        met = (put_table(met, "parts") if aside is None else met).repartition("query_id", "place")
     told = met.select("query_id", "place", "score", "pos", "id", evidence().alias("text")).groupBy("query_id", "place").agg(F.min("score").alias("score"), F.sort_array(F.collect_list(F.struct("pos", "id", "text"))).alias("ts"))
     return told.select("query_id", "place", F.col("ts")[0]["id"].alias("id"), F.array_join("ts.text", BETWEEN).alias("content"), "score")
 

@@ -38,7 +38,7 @@ def term_weights(queries: DataFrame) -> DataFrame:
     """
     own = queries.select("query_id", "user_id", F.explode(F.array_distinct(exact_tokens(F.col("query")))).alias("term"), F.lit(1.0).alias("weight"))
     options = queries.select("query_id", "user_id", F.explode("options").alias("option")).select("query_id", "user_id", F.explode(F.array_distinct(exact_tokens(F.col("option")))).alias("term"), F.lit(OPTION_WEIGHT).alias("weight"))
-    merged = own.unionByName(options).groupBy("query_id", "user_id", "term").agg(F.max("weight").alias("weight"))
+    merged = own.unionByName(options).repartition("query_id").groupBy("query_id", "user_id", "term").agg(F.max("weight").alias("weight"))
     stop = F.col("term").isin(*STOP_WORDS)
     return merged.withColumn("other", F.max(~stop).over(Window.partitionBy("query_id"))).where(~F.col("other") | ~stop).drop("other")
 

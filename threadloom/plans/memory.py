@@ -46,9 +46,10 @@ def memory_statistics(spark: SparkSession, d: str) -> DataFrame:
 def memory_search(spark: SparkSession, d: str) -> DataFrame:
     """Messages found and best score of each search after both rounds."""
     memory, _ = _added(spark, d)
-    requests = search_requests(spark, d, memory.read("messages"))
-    found = memory.scores(requests)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("score").alias("best"))
+    requests = put_table(search_requests(spark, d, memory.read("messages")), "requests")
+    weighted = put_table(memory.weighted(requests), "weighted")
+    # a query lies in one part, as its user does
+    return memory.stepwise("found", lambda part, _: part.scores(requests, weighted).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("score").alias("best")))
 
 
 QUERIES = {f.__name__: f for f in (memory_adds, memory_statistics, memory_search)}

@@ -9,8 +9,7 @@ from pyspark.sql.window import Window
 from threadloom.functions.text import PLACEHOLDERS
 from threadloom.operators import attribution, prepare
 from threadloom.plans.prelude import SQL_M, first_messages
-from threadloom.plans.searching import _fused, _packed, _Store
-from threadloom.operators.context import evidence_items
+from threadloom.plans.searching import _packed, _Store
 from threadloom.sources.tables import table
 
 
@@ -45,7 +44,7 @@ def contaminated_histories(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_grounded(spark: SparkSession, d: str) -> DataFrame:
     s = _Store(spark, d)
-    checked = attribution.grounded(evidence_items(_fused(s, 1.0), s.messages), s.messages)
+    checked = attribution.grounded(s.stepwise("items", lambda p: p.evidence("reserved")), s.messages)
     return checked.groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"), F.count(F.when(F.col("grounded"), 1)).alias("grounded"))
 
 

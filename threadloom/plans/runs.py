@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import squeezed
 from threadloom.operators import runs, store
+from threadloom.operators.memory import Memory
 from threadloom.plans.prelude import SQL_QUERIES
 from threadloom.plans.searching import _STORE, _lexical, _semantic, _weighted, memory_of
 from threadloom.session import put_table
@@ -22,54 +25,56 @@ class _Known:
 
     def __init__(self, spark: SparkSession, d: str):
         self.memory = memory_of(spark, d)
-        self.messages = self.memory.read("messages").drop("bucket")
         after = F.lead(F.struct("id", "content")).over(Window.partitionBy("user_id", "session_id").orderBy("sequence", "id"))
         drawn = F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 50 == 0
-        picked = self.messages.select("user_id", "session_id", "id", "content", after.alias("after")).where(drawn & ~store.blank(F.col("content")) & F.col("user_id").isNotNull())
-        self.known = put_table(picked, "known")
+        picked = lambda messages: messages.select("user_id", "session_id", "id", "content", after.alias("after")).where(drawn & ~store.blank(F.col("content")) & F.col("user_id").isNotNull())
+        self.known = self.memory.stepwise("known", lambda part, _: picked(part.read("messages")))
         self.requests = self.known.select(F.col("id").alias("query_id"), "user_id", F.col("content").alias("query"), F.array().cast("array<string>").alias("options"))
         gold = F.array(F.struct(F.lit("own").alias("unit_id"), F.col("id").alias("id"), F.col("content").alias("text")), F.struct(F.lit("next").alias("unit_id"), F.col("after.id").alias("id"), F.col("after.content").alias("text")))
         self.units = self.known.select(F.col("id").alias("query_id"), "user_id", "session_id", F.explode(gold).alias("u")).select("query_id", "user_id", "session_id", "u.*").where("id IS NOT NULL")
 
-    def returned(self, ranked: DataFrame) -> DataFrame:
-        """Ranked ids with their sessions and contents."""
-        found = put_table(ranked.select("query_id", "user_id", "id", "score", "rank"), "ranked")
-        return put_table(found.join(self.messages.select("user_id", "id", "session_id", F.col("content").alias("body")), ["user_id", "id"]), "returned")
-
-    def lexical(self) -> DataFrame:
-        return self.returned(self.memory.lexical(self.requests, TOP))
-
-    def semantic(self) -> DataFrame:
-        return self.returned(self.memory.semantic(self.requests, TOP))
-
-    def frequency(self) -> DataFrame:
+    def _frequency(self, units: DataFrame, messages: DataFrame) -> DataFrame:
         """In how many messages of its user a unit's text stands, apart from white space."""
         digest = lambda c: F.md5(squeezed(F.coalesce(c, F.lit(""))))
-        wanted = self.units.select("query_id", "unit_id", "user_id", digest(F.col("text")).alias("digest"))
-        held = self.messages.select("user_id", digest(F.col("content")).alias("digest")).join(wanted.select("user_id", "digest").distinct(), ["user_id", "digest"], "left_semi")
+        wanted = units.select("query_id", "unit_id", "user_id", digest(F.col("text")).alias("digest"))
+        held = messages.select("user_id", digest(F.col("content")).alias("digest")).join(wanted.select("user_id", "digest").distinct(), ["user_id", "digest"], "left_semi")
         return wanted.join(held.groupBy("user_id", "digest").agg(F.count(F.lit(1)).alias("times")), ["user_id", "digest"], "left").select("query_id", "unit_id", "times")
 
-    def grades(self, returned: DataFrame) -> tuple[DataFrame, DataFrame]:
-        cut = runs.limits(returned, PREFIXES, BUDGETS)
-        ranks = put_table(runs.unit_ranks(self.units, returned, put_table(self.frequency(), "frequency")), "ranks")
-        return put_table(runs.graded(ranks, cut), "graded"), cut
+    def _graded(self, ranked: Callable[[Memory], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """Grades and limits of the lists that ``ranked`` gives for a part of the store; a query and its gold lie in one part."""
+
+        def of_part(part: Memory, aside: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+            messages, units = part.read("messages"), part.own(self.units)
+            found = aside(ranked(part).select("query_id", "user_id", "id", "score", "rank"), "ranked")
+            returned = aside(found.join(messages.select("user_id", "id", "session_id", F.col("content").alias("body")), ["user_id", "id"]), "returned")
+            cut = aside(runs.limits(returned, PREFIXES, BUDGETS), "cut")
+            ranks = aside(runs.unit_ranks(units, returned, aside(self._frequency(units, messages), "frequency")), "ranks")
+            return cut.join(runs.graded(ranks, cut), ["query_id", "k", "budget"], "left")
+
+        both = self.memory.stepwise("graded", of_part)
+        limits = ["cutoff", "items", "characters"]
+        return both.where("gold IS NOT NULL").drop(*limits), both.select("query_id", "k", "budget", *limits)
+
+    def lexical(self) -> tuple[DataFrame, DataFrame]:
+        weighted = put_table(self.memory.weighted(self.requests), "weighted")
+        return self._graded(lambda part: part.lexical(self.requests, TOP, weighted))
+
+    def semantic(self) -> tuple[DataFrame, DataFrame]:
+        return self._graded(lambda part: part.semantic(self.requests, TOP))
 
 
 def retrieval_run(spark: SparkSession, d: str) -> DataFrame:
-    known = _Known(spark, d)
-    g = known.grades(known.lexical())[0]
-    return g.withColumn("macro", F.round("macro", 9))
+    return _Known(spark, d).lexical()[0].withColumn("macro", F.round("macro", 9))
 
 
 def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
     known = _Known(spark, d)
-    g, cut = known.grades(known.lexical())
-    return runs.summary(known.requests, g, cut, [])
+    return runs.summary(known.requests, *known.lexical(), [])
 
 
 def retrieval_compare(spark: SparkSession, d: str) -> DataFrame:
     known = _Known(spark, d)
-    return runs.compared(known.grades(known.lexical())[0], known.grades(known.semantic())[0], "all_hit")
+    return runs.compared(known.lexical()[0], known.semantic()[0], "all_hit")
 
 
 def run_contract(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from threadloom.operators import context, search, vectors
 from threadloom.operators.memory import Memory
 from threadloom.operators.ranks import within_budget
 from threadloom.plans.prelude import SQL_M, SQL_POSTED, SQL_QUERIES, SQL_STOP, SQL_USERS, first_messages, search_requests, sql_tokens
-from threadloom.session import put_aside, put_table, scratch_path
+from threadloom.session import put_table, scratch_path
 from threadloom.sources.tables import table
 
 TOP = 20
@@ -42,64 +44,79 @@ class _Store:
     def weighted(self) -> DataFrame:
         return self.memory.weighted(self.requests)
 
-    def lexical(self, options: bool = True, most: int | None = None) -> DataFrame:
+    def stepwise(self, what: str, make: Callable[[_Part], DataFrame], options: bool = True) -> DataFrame:
+        """The rows that ``make`` gives for each part of the store, written one part after another; terms are weighed before."""
         asked = self.requests if options else self.requests.withColumn("options", F.array().cast("array<string>"))
-        return self.memory.lexical(asked, most or search.candidates_for(TOP))
+        weighted = put_table(self.memory.weighted(asked), "weighted")
+        return self.memory.stepwise(what, lambda part, aside: make(_Part(part, asked, weighted, aside)))
+
+
+class _Part:
+    """A part of the store, and the searches that are put to it."""
+
+    def __init__(self, memory: Memory, requests: DataFrame, weighted: DataFrame, aside: Callable[[DataFrame, str], DataFrame]):
+        self.memory, self.requests, self.weighted, self.aside = memory, requests, weighted, aside
+        self.messages = memory.read("messages").drop("bucket")
+
+    def lexical(self, most: int | None = None) -> DataFrame:
+        return self.memory.lexical(self.requests, most or search.candidates_for(TOP), self.weighted)
 
     def semantic(self, most: int | None = None) -> DataFrame:
         """Cosine over stand-in vectors."""
         return self.memory.semantic(self.requests, most or search.candidates_for(TOP))
 
+    def fused(self, weight: float) -> DataFrame:
+        return search.fuse(self.aside(self.lexical(), "lexical"), self.aside(self.semantic(), "semantic"), weight, TOP)
+
+    def fetched(self, messages: DataFrame) -> DataFrame:
+        """The best by BM25 with their rows of ``messages``."""
+        return search.fetch(self.aside(self.lexical(TOP), "lexical"), messages)
+
+    def evidence(self, grouping: str) -> DataFrame:
+        return context.evidence_items(self.fused(1.0), self.messages, grouping=grouping, aside=self.aside)
+
 
 def query_term_weights(spark: SparkSession, d: str) -> DataFrame:
     return _Store(spark, d).weighted().select("query_id", "user_id", "term", "weight", F.round("idf", 9).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _Store(spark, d).lexical(options=False, most=TOP).select("query_id", "id", "score", "rank")
+    return _Store(spark, d).stepwise("ranked", lambda p: p.lexical(TOP).select("query_id", "id", "score", "rank"), options=False)
 
 
 def bm25_options(spark: SparkSession, d: str) -> DataFrame:
-    return _Store(spark, d).lexical(most=TOP).select("query_id", "id", "score", "rank")
+    return _Store(spark, d).stepwise("ranked", lambda p: p.lexical(TOP).select("query_id", "id", "score", "rank"))
 
 
 def hashed_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _Store(spark, d).semantic(TOP).select("query_id", "id", "score", "rank")
-
-
-def _fused(s: _Store, weight: float) -> DataFrame:
-    with put_aside(s.lexical(), "lexical") as lexical, put_aside(s.semantic(), "semantic") as semantic:
-        return put_table(search.fuse(lexical, semantic, weight, TOP), "fused")
+    s = _Store(spark, d)
+    return s.memory.stepwise("ranked", lambda part, _: part.semantic(s.requests, TOP).select("query_id", "id", "score", "rank"))
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(_Store(spark, d), 1.0).select("query_id", "id", "score", "rank")
+    return _Store(spark, d).stepwise("fused", lambda p: p.fused(1.0).select("query_id", "id", "score", "rank"))
 
 
 def rrf_weighted_half(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(_Store(spark, d), 0.5).select("query_id", "id", "score", "rank")
+    return _Store(spark, d).stepwise("fused", lambda p: p.fused(0.5).select("query_id", "id", "score", "rank"))
 
 
 def scoped_fetch(spark: SparkSession, d: str) -> DataFrame:
-    s = _Store(spark, d)
-    return search.fetch(put_table(s.lexical(most=TOP), "lexical"), s.messages.drop("sequence")).select("query_id", "rank", "id", "session_id", "role", "content")
+    return _Store(spark, d).stepwise("fetched", lambda p: p.fetched(p.messages.drop("sequence")).select("query_id", "rank", "id", "session_id", "role", "content"))
 
 
 def evidence_pack_reserved(spark: SparkSession, d: str) -> DataFrame:
-    s = _Store(spark, d)
-    return context.evidence_items(_fused(s, 1.0), s.messages, grouping="reserved")
+    return _Store(spark, d).stepwise("items", lambda p: p.evidence("reserved"))
 
 
 def evidence_pack_emitted(spark: SparkSession, d: str) -> DataFrame:
-    s = _Store(spark, d)
-    return context.evidence_items(_fused(s, 1.0), s.messages, grouping="emitted")
+    return _Store(spark, d).stepwise("items", lambda p: p.evidence("emitted"))
 
 
 def char_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    s = _Store(spark, d)
-    sized = s.messages.select("user_id", "id", F.length(F.coalesce("content", F.lit(""))).alias("size"))
-    rows = search.fetch(put_table(s.lexical(most=TOP), "lexical"), sized)
-    return within_budget(rows, ["query_id"], "rank", F.col("size"), 2000).select("query_id", "rank", "id")
+    size = F.length(F.coalesce("content", F.lit(""))).alias("size")
+    cut = lambda rows: within_budget(rows, ["query_id"], "rank", F.col("size"), 2000).select("query_id", "rank", "id")
+    return _Store(spark, d).stepwise("fetched", lambda p: cut(p.fetched(p.messages.select("user_id", "id", size))))
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
