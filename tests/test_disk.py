@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from threadloom.operators import blocks, index, memory as stored, search, store
 from threadloom.operators.memory import Memory
 from threadloom.plans import searching
+from threadloom.session import shared_dir
 
 M = "user_id string, id string, session_id string, request_id string, message_index int, role string, sequence bigint, content string, source_timestamp_ms bigint"
 
@@ -89,3 +90,13 @@ def test_terms_are_counted_in_steps_and_stored_in_order(spark, folder, tmp_path,
     assert len(files) > 4  # steps
     rows = [tuple(r) for r in spark.read.parquet(str(files[0])).select("user_id", "term").collect()]
     assert rows == sorted(rows)
+
+
+def test_adds_leave_their_store_and_outcomes_only(spark, folder):
+    from threadloom.plans.memory import _added
+
+    at = Path(f"{shared_dir(spark).removeprefix('file://')}/threadloom")
+    held = set(at.glob("*"))
+    memory, outcomes = _added(spark, str(folder))
+    assert [p.name.split("-")[0] for p in sorted(set(at.glob("*")) - held)] == ["memory", "status", "status"]
+    assert all(o.count() for o in outcomes) and memory.read("messages").count() == 4000

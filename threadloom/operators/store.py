@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.session import write_table
+
 #: Unicode white space, as the language the store was first written in counts it.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 
@@ -40,23 +44,21 @@ def message_id(user: Column, request: Column, index: Column) -> Column:
     return F.concat(F.lit("msg_"), F.sha2(F.concat(F.lit("["), quoted(user), F.lit(","), quoted(request), F.lit(","), index.cast("string"), F.lit("]")), 256))
 
 
-def ingest(arrivals: DataFrame, stored: DataFrame, high_water: int) -> DataFrame:
+def ingest(arrivals: DataFrame, stored: DataFrame, high_water: int, put: Callable[[DataFrame, str], DataFrame] = write_table) -> DataFrame:
     """Classified arrivals against what is stored: ``request`` rows with ``status`` and, for new ones, a sequence.
 
     arrivals: ``user_id, request_id, body, arrival``; stored: ``user_id, request_id, body``. Sequences go up
-    from ``high_water`` in order of arrival, by one range shuffle and per-partition offsets, not one task.
+    from ``high_water`` in order of arrival, by one range shuffle and per-partition offsets, not one task. ``put`` as in ``number_rows``.
     """
     earlier = stored.select("user_id", "request_id", F.sha2("body", 256).alias("held"))
     seen = classify(arrivals, ["user_id", "request_id"], ["arrival"], ["body"]).join(earlier, ["user_id", "request_id"], "left")
     status = F.when(F.col("held").isNull(), F.col("status")).when(F.col("held") == F.sha2("body", 256), "retry").otherwise("conflict")
-    return number_rows(seen.withColumn("status", status).drop("held"), F.col("status") == "new", ["arrival", "user_id", "request_id"], high_water)
-
+    return number_rows(seen.withColumn("status", status).drop("held"), F.col("status") == "new", ["arrival", "user_id", "request_id"], high_water, put)
 
-def number_rows(rows: DataFrame, counted: Column, order: list[str], start: int) -> DataFrame:
-    """Adds ``sequence`` to the rows that count, consecutive in ``order`` from ``start`` + 1."""
-    from threadloom.session import write_table
 
-    ranged = write_table(rows.withColumn("counted__", counted).repartitionByRange(*order).withColumn("part__", F.spark_partition_id()), "ranged")
+def number_rows(rows: DataFrame, counted: Column, order: list[str], start: int, put: Callable[[DataFrame, str], DataFrame] = write_table) -> DataFrame:
+    """Adds ``sequence`` to the rows that count, consecutive in ``order`` from ``start`` + 1. ``put`` stores the rows in their ranges."""
+    ranged = put(rows.withColumn("counted__", counted).repartitionByRange(*order).withColumn("part__", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("part__").agg(F.count(F.when(F.col("counted__"), 1)).alias("n__"))
     offset = sums.withColumn("offset__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n__")
     inside = F.sum(F.col("counted__").cast("int")).over(Window.partitionBy("part__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

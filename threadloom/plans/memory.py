@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,12 +27,13 @@ def _added(spark: SparkSession, d: str) -> tuple[Memory, list[DataFrame]]:
     m = first_messages(spark, d, _COLUMNS)
     drawn = F.conv(F.substring(F.md5("request_id"), 1, 4), 16, 10).cast("int") % 20
     arrived = lambda first: first.select(*_COLUMNS, drawn.alias("drawn"), F.min("sequence").over(Window.partitionBy("user_id", "request_id")).alias("arrival"))
-    with put_aside(m, "first") as held:
-        rows = put_table(arrived(held), "arrivals")
-    first = rows.where("drawn % 2 = 0")
-    changed = F.when(F.col("drawn") == 0, F.coalesce("source_timestamp_ms", F.lit(0)) + 1).otherwise(F.col("source_timestamp_ms"))
-    second = rows.withColumn("source_timestamp_ms", changed).withColumn("arrival", F.col("arrival") + 10**12)
-    return memory, [memory.add(x.drop("drawn"), name) for x, name in ((first, "first"), (second, "second"))]
+    with ExitStack() as stack:
+        with put_aside(m, "first") as held:
+            rows = stack.enter_context(put_aside(arrived(held), "arrivals"))
+        first = rows.where("drawn % 2 = 0")
+        changed = F.when(F.col("drawn") == 0, F.coalesce("source_timestamp_ms", F.lit(0)) + 1).otherwise(F.col("source_timestamp_ms"))
+        second = rows.withColumn("source_timestamp_ms", changed).withColumn("arrival", F.col("arrival") + 10**12)
+        return memory, [memory.add(x.drop("drawn"), name) for x, name in ((first, "first"), (second, "second"))]
 
 
 def memory_adds(spark: SparkSession, d: str) -> DataFrame:
